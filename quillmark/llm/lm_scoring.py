@@ -74,10 +74,12 @@ class Lattice:
     """Marginal log10 probability of a word over all its segmentations into pieces."""
 
     def __init__(self, pieces: dict[str, float], by_byte: list[float]):
-        self.pieces, self.by_byte, self.longest = pieces, by_byte, max(map(len, pieces), default=1)
+        self.by_byte = by_byte
+        #: Log probability of each piece; 0.0 for what only begins one.
+        self.begun = {w[:k]: 0.0 for w in pieces for k in range(1, len(w))} | pieces
 
     def word(self, word: str) -> float:
-        s, get, longest, ln10 = GAP + word, self.pieces.get, self.longest, math.log(10)
+        s, get, ln10 = GAP + word, self.begun.get, math.log(10)
         n = len(s)
         alpha = [-math.inf] * (n + 1)
         alpha[0] = 0.0
@@ -85,9 +87,11 @@ class Lattice:
         for i in range(n):
             a = alpha[i]
             known = False
-            for j in range(i + 1, min(n, i + longest) + 1):
+            for j in range(i + 1, n + 1):
                 p = get(s[i:j])
-                if p is not None:
+                if p is None:
+                    break
+                if p:
                     known |= j == i + 1
                     p += a
                     b = alpha[j]
