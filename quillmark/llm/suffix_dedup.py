@@ -193,33 +193,56 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[first], hi[np.append(first[1:], len(lo)) - 1]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc, data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            runs = []
-            if spans.is_valid:
-                lo, hi = merge_spans(spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy())
-                runs = list(zip(lo.tolist(), hi.tolist(), strict=True))
-            kept, at = [], 0
-            for lo, hi in runs:
-                kept.append(data[at:lo])
-                at = hi
-            kept.append(data[at:])
-            text = b"".join(kept)
-            out.append((doc, len(data), len(data) - len(text), len(runs), K.sha(text), text, [{"lo": a, "hi": b} for a, b in runs]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CUT_TYPES, strict=True)], _CUT_NAMES) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in _CUT_TYPES], _CUT_NAMES)
+def _whole(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the characters that they hold only in part."""
+    out = []
+    for lo, hi in runs:
+        while lo < hi and lo and data[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if hi > lo:
+            out.append((lo, hi))
+    return out
+
+
+def _cut(whole_chars: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cut_batch(batch, whole_chars)
+
+    return run
+
+
+def _cut_batch(batch: pa.RecordBatch, whole_chars: bool) -> pa.RecordBatch:
+    out = []
+    for doc, data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        runs = []
+        if spans.is_valid:
+            lo, hi = merge_spans(spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy())
+            runs = list(zip(lo.tolist(), hi.tolist(), strict=True))
+            runs = _whole(data, runs) if whole_chars else runs
+        kept, at = [], 0
+        for lo, hi in runs:
+            kept.append(data[at:lo])
+            at = hi
+        kept.append(data[at:])
+        text = b"".join(kept)
+        out.append((doc, len(data), len(data) - len(text), len(runs), K.sha(text), text, [{"lo": a, "hi": b} for a, b in runs]))
+    columns = zip(*out, strict=True) if out else [[]] * len(_CUT_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT_TYPES, strict=True)], _CUT_NAMES)
 
 
 _CUT_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
 _CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
 
 
-def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, whole_chars: bool = False) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that also starts earlier.
 
     Earlier: in a document with a smaller id, or before in the same one.  One row for each row of docs:
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (remaining bytes), spans.
+    whole_chars: keep the characters that a removed run cuts, so that what is kept is UTF-8.
     Null and empty texts have no bytes and nothing removed; texts shorter than the window stay whole; other
     columns are ignored; a doc_id must be unique and not null (rows with a null id are left out).
     """
@@ -246,5 +269,5 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     later = windows.repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc_id", "lo").mapInArrow(_later(window), "doc_id long, lo int, hi int")
     gone = whole.unionByName(quarter).where("kind = 0").drop("kind", "anchor").unionByName(later).groupBy("doc_id").agg(span)
     return by_doc.join(gone, "doc_id", "left").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
+        _cut(whole_chars), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
     )
