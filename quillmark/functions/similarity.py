@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def ratio(a: str | None, b: str | None) -> float:
@@ -45,16 +46,16 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def word_edits_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int32")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 GOVERNED = ("auto_accepted", "clinician_confirmed", "corrected")
@@ -72,7 +73,7 @@ def greedy_groups(df: DataFrame, key: str, text: str, order: list[str], threshol
 
     Adds group_no (from 0) and head.  Order-dependent, so the order must be total.  One key is one task: keys are
     phones or documents, which have few rows."""
-    schema = df.schema.add("group_no", "int").add("head", "string")
+    schema = StructType([*df.schema.fields, StructField("group_no", IntegerType()), StructField("head", StringType())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 STABLE_POLLS = 2
@@ -66,7 +67,7 @@ def batches_of(events: DataFrame, size: int, wait_seconds: int, key: str = "lane
             out.append(no)
         return frame.assign(batch_no=pd.Series(out, index=frame.index, dtype="int64"))
 
-    return events.groupBy(key).applyInPandas(run, events.schema.add("batch_no", "long"))
+    return events.groupBy(key).applyInPandas(run, StructType([*events.schema.fields, StructField("batch_no", LongType())]))
 
 
 def dedup_stream(stream: DataFrame, key: str, ts: str, keep: str = "1 day") -> DataFrame:
