@@ -116,10 +116,10 @@ def jaro_winkler_pairs(t: Tables):
 
 @query("""SELECT p_brand, rank_no, p_name, score, score >= max(score) OVER (PARTITION BY p_brand) - 0.03 AND count(*) FILTER (WHERE near) OVER (PARTITION BY p_brand) >= 2 AS collision FROM
  (SELECT *, score >= max(score) OVER (PARTITION BY p_brand) - 0.03 AS near FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name) AS rank_no FROM
- (SELECT p_brand, p_name, round(max(p_retailprice / 2000), 4) AS score FROM part GROUP BY 1, 2))) WHERE rank_no <= 5""")
+ (SELECT p_brand, p_name, max(p_retailprice / 2000) AS score FROM part GROUP BY 1, 2))) WHERE rank_no <= 5""")
 def alias_candidates(t: Tables):
     """Best of each concept, the first five, and those within .03 of the top."""
-    b = t.part.groupBy("p_brand", "p_name").agg(F.round(F.max(F.col("p_retailprice") / 2000), 4).alias("score"))
+    b = t.part.groupBy("p_brand", "p_name").agg(F.max(F.col("p_retailprice") / 2000).alias("score"))
     b = b.withColumn("rank_no", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_name")).cast("long")).where("rank_no <= 5")
     w = Window.partitionBy("p_brand")
     b = b.withColumn("near", F.col("score") >= F.max("score").over(w) - 0.03)
