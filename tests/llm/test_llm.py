@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import decontam, html_extract, language_id, license_scan, lm_scoring, mixing, ngram_join, suffix_dedup, token_counts, vector_search
 from quillmark.llm import kernels as K
-from quillmark.llm.graph import components
+from quillmark.llm.graph import components, merged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -119,6 +119,18 @@ def test_components_of_a_path(spark):
     assert {tuple(r) for r in components(e).collect()} == {(i, 0) for i in range(41)}
 
 
+def test_components_grow_by_more_links(spark):
+    rng = np.random.default_rng(5)
+    links = [tuple(int(x) for x in rng.integers(0, 120, 2)) for _ in range(80)]
+    links = [x for x in links if x[0] != x[1]]
+    own = lambda some: spark.createDataFrame([*some, (None, 3)], "a long, b long")
+    labels = components(own(links[:30]))
+    for k in (30, 50):
+        labels = merged(labels, own(links[k : k + 30]))
+    assert {tuple(r) for r in labels.collect()} == {tuple(r) for r in components(own(links)).collect()}
+    assert {tuple(r) for r in merged(labels, own(links[:9])).collect()} == {tuple(r) for r in labels.collect()}
+
+
 def test_token_counts(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
