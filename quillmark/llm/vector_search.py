@@ -101,7 +101,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(vectors: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE, seed: int = 5) -> tuple[Tree, int]:
     """A tree from at most about `sample` rows (evenly by a hash of the id), and the leaves to visit for the recall wanted.
 
-    The recall is measured on PROBES rows of the sample against all of it by brute force."""
+    The recall is measured on at most PROBES rows with different vectors, which the tree is not fitted on, against all
+    of the sample by brute force: each probe's share of its k nearest, averaged.  Of rows that tie for the last places
+    any will do, and no more count than there are places, so copies of one vector weigh no more than other rows."""
     total = vectors.count()
     share = min(1.0, sample / max(1, total))
     own = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else vectors
@@ -109,21 +111,25 @@ def fit(vectors: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE
     if not rows:
         return Tree(np.zeros((0, 1)), 8, seed), 1
     x = _unit(np.array([r.v for r in rows]))
-    tree = Tree(x, int(LEAF_ROWS * share), seed)
+    kinds = np.sort(np.unique(x, axis=0, return_index=True)[1])
+    probes = kinds[np.unique(np.linspace(0, len(kinds) - 1, min(PROBES, -(-len(kinds) // 2))).astype(int))]
+    rest = np.delete(x, probes, axis=0)
+    tree = Tree(rest if len(rest) else x, int(LEAF_ROWS * share), seed)
     leaf = tree.assign(x)
-    probes = np.unique(np.linspace(0, len(x) - 1, PROBES).astype(int))
-    found, want = np.zeros(tree.n_leaves + 1), 0
+    reached, scored = np.zeros(tree.n_leaves + 1), 0
     for p in probes:
         s = x @ x[p]
         s[p] = -2
-        edge = np.sort(s)[::-1][: min(k, len(x) - 1)]
-        best = np.flatnonzero(s >= edge[-1] - 1e-12) if len(edge) else []
-        want += len(best)
-        place = {b: i for i, b in enumerate(tree.best_bins(x[p], tree.n_leaves))}
-        for b in best:
-            found[place[leaf[b]] + 1] += 1
-    reached = np.cumsum(found) / max(1, want)
-    return tree, max(1, int(np.searchsorted(reached, recall)))
+        want = min(k, len(x) - 1)
+        if want < 1:
+            continue
+        edge = np.partition(s, len(s) - want)[len(s) - want]
+        place = np.empty(tree.n_leaves, np.int64)
+        place[tree.best_bins(x[p], tree.n_leaves)] = np.arange(tree.n_leaves)
+        better, level = (np.cumsum(np.bincount(place[leaf[near]] + 1, minlength=tree.n_leaves + 1)) for near in (s > edge + 1e-12, np.abs(s - edge) <= 1e-12))
+        reached += (better + np.minimum(level, want - better[-1])) / want
+        scored += 1
+    return tree, max(1, int(np.searchsorted(reached / max(1, scored), recall - 1e-9)))
 
 
 def _place(tree):

@@ -294,6 +294,23 @@ def test_vector_search(spark):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_with_many_copies(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = [q for q in range(0, 6000, 50) if q % 3]
+    got = collections.defaultdict(set)
+    for r in vector_search.search(df, df.where("vec_id % 50 = 0 and vec_id % 3 <> 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    y, hit = x.astype(np.float64), 0
+    for q in asked:
+        s = vector_search.cosine(y[q], y)
+        s[q] = -9
+        hit += len(got[q] & set(np.lexsort((np.arange(6000), -s))[:5].tolist()))
+    assert hit / (5 * len(asked)) >= 0.9
+
+
 def test_empty_and_clashing_columns(spark, none, clash, rows):
     ids = {r[0] for r in rows}
     for d, want in ((none, set()), (clash, ids)):
