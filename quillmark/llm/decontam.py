@@ -1,10 +1,16 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a window of words of which a fixed mask ignores some, so a substituted word under an ignored place leaves
-the hash as it is.  Hashes of all windows of the benchmark under all masks are met with those of the training texts;
-around each hit the two texts are aligned and compared word by word, and the overlap is extended while substitutions
-stay rare.  A document is contaminated by an item if an overlap has MATCHES equal words (the whole item, if shorter)
-and a share of IDENTITY of its words are equal.
+A seed is two runs of three words at a fixed distance, so substituted words between them leave the hash as it is.
+Hashes of all seeds of the benchmark are met with those of the training texts; the two texts are aligned at each hit
+and compared word by word.  A document is contaminated by an item if some stretch of one alignment has MATCHES equal
+words and a share of IDENTITY of its words are equal, substituted words at any places.
+
+No such stretch is missed: it has at least 12 equal words in at most one run more than a third of their number, and
+that leaves two runs of three words, or parts of one longer run, at most 13 places apart; DISTANCES has them all.
+
+Of an item under 16 words, which can't hold 12 and lose a quarter, a share of IDENTITY of its words must be equal (9
+of 12); its seeds are single runs of three words, for 8 words with one word left out too.  Items of under 8 words must
+stand whole and unchanged.
 
 The benchmark's seeds are broadcast only if its size, which is measured first, is under a bound; a larger one is
 met by a join on the seed hash.
@@ -21,42 +27,66 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
 
-#: Places of a window that count; each mask starts and ends with one.
-MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 3, 4, 6, 7, 9, 10), (0, 1, 2, 5, 6, 8, 10, 11), (0, 2, 3, 6, 7, 9, 11))
+#: Distances between the two runs of a seed.
+RUN, DISTANCES = (0, 1, 2), range(1, 14)
+#: Items of fewer words must be whole; of fewer than LONG words the matches wanted are a share of the item.
+WHOLE, LONG = 8, 16
+#: Seeds of items of exactly WHOLE words, besides RUN.
+GAPPED = (0, 1, 3)
 MATCHES, IDENTITY = 12, 0.75
-MISMATCH, DROP = 2, 8
 BROADCAST_BYTES = 32 << 20
 BLOOM_BITS = 22
 
 
-def _seeds(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(mask number, hashes by place) of all windows of a word-hash sequence."""
-    return [(k, K.mix(K.runs(h, m) + K.U(k))) for k, m in enumerate(MASKS) if len(h) > m[-1]]
+def _runs(h: np.ndarray) -> np.ndarray:
+    return K.runs(h, RUN)
+
+
+def _gapped(h: np.ndarray) -> np.ndarray:
+    return K.mix(K.runs(h, GAPPED) + K.U(999))
+
+
+def _whole(h: np.ndarray, n: int) -> np.ndarray:
+    """Contiguous seeds of n words, n being the length of a short item."""
+    return K.mix(K.runs(h, tuple(range(n))) + K.U(1000 + n))
 
 
-def _whole(h: np.ndarray) -> np.ndarray:
-    """One contiguous seed of a short item, by its own length."""
-    return K.mix(K.runs(h, tuple(range(len(h)))) + K.U(1000 + len(h)))
+def _pair(one: np.ndarray, two: np.ndarray, distance: int) -> np.ndarray:
+    return K.mix(one + two * K.WORD_KEYS[10 + distance])
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, at: int, p: int) -> tuple[int, int, int]:
-    """Best-scoring stretch through the aligned place (doc[at], item[p]): (matches, first and last place in doc, both included).
+def _item_seeds(h: np.ndarray) -> list[np.ndarray]:
+    """Seeds of an item, each array by place."""
+    if len(h) < WHOLE:
+        return [_whole(h, len(h))]
+    t = _runs(h)
+    if len(h) < LONG:
+        return [t, _gapped(h)] if len(h) == WHOLE else [t]
+    return [_pair(t[:-d], t[d:], d) for d in DISTANCES if len(t) > d]
 
-    Equal words score 1, others -MISMATCH; a side ends where the score is DROP below its best."""
-    lo, hi = -min(at, p), min(len(doc) - at, len(item) - p)
-    same = doc[at + lo : at + hi] == item[p + lo : p + hi]
-    step = np.where(same, 1, -MISMATCH)
-    mid = -lo
 
-    def reach(s: np.ndarray) -> int:
-        total = np.cumsum(s)
-        stop = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total >= DROP)
-        total = total[: stop[0]] if len(stop) else total
-        return int(np.argmax(total)) + 1 if len(total) and total.max() > 0 else 0
+def required(n: int, matches: int, identity: float) -> int:
+    """Equal words asked of an item of n words."""
+    if n < WHOLE:
+        return n
+    return min(matches, int(np.ceil(identity * n - 1e-9)))
 
-    right, left = reach(step[mid:]), reach(step[:mid][::-1])
-    part = same[mid - left : mid + right]
-    return int(part.sum()), at - left, at + right - 1
+
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, identity: float) -> tuple[int, int, int]:
+    """The stretch with the most equal words of those with the identity, where doc[i + shift] stands at item[i]: (matches, first and last place in doc, both included).
+
+    It starts and ends with an equal word; of several, the first to end."""
+    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    total = np.concatenate([[0], np.cumsum(doc[lo + shift : hi + shift] == item[lo:hi])])
+    # A stretch [i, j) has the identity if its balance does not fall; the earliest such i has the most equal words.
+    balance = total - identity * np.arange(len(total))
+    least = -np.minimum.accumulate(balance)
+    start = np.searchsorted(least, -balance - 1e-9)
+    gain = total - total[start]
+    j = int(np.argmax(gain))
+    equal = np.flatnonzero(np.diff(total[start[j] : j + 1]))
+    first = int(start[j]) + lo + shift
+    return (int(gain[j]), first + int(equal[0]), first + int(equal[-1])) if len(equal) else (0, first, first - 1)
 
 
 class Index:
@@ -65,15 +95,21 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids, self.words, hashes, item, place = [], [], [], [], []
         self.short: set[int] = set()
+        self.middle: set[int] = set()
+        runs: list[np.ndarray] = []
         for i, text in items:
             data = np.frombuffer(text, np.uint8)
             starts, ends, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
             h = K.word_hashes(data, starts, ends)
             if not len(h):
                 continue
-            found = [s for _, s in _seeds(h)] or [_whole(h)]
-            if len(h) <= MASKS[0][-1]:
+            found = _item_seeds(h)
+            if len(h) < WHOLE:
                 self.short.add(len(h))
+            elif len(h) < LONG:
+                self.middle.add(len(h))
+            else:
+                runs.append(_runs(h))
             for s in found:
                 hashes.append(s)
                 item.append(np.full(len(s), len(self.ids)))
@@ -83,34 +119,49 @@ class Index:
         cat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(cat, kind="stable")
         self.hash, self.item, self.place = cat[order], (np.concatenate(item) if item else cat.astype(int))[order], (np.concatenate(place) if place else cat.astype(int))[order]
-        self.bloom = np.zeros(1 << BLOOM_BITS, bool)
-        self.bloom[(self.hash >> K.U(64 - BLOOM_BITS)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place in the text, item, place in the item) of equal seeds, short items' included."""
-        found = [s for _, s in _seeds(h)]
-        found += [K.mix(K.runs(h, tuple(range(n))) + K.U(1000 + n)) for n in sorted(self.short) if len(h) >= n]
-        for s in found:
-            at = np.flatnonzero(self.bloom[(s >> K.U(64 - BLOOM_BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.hash, s[at], "left"), np.searchsorted(self.hash, s[at], "right")
-            for a, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k in range(x, y):
-                    yield a, int(self.item[k]), int(self.place[k])
-
-    def matches(self, h: np.ndarray, matches: int, identity: float) -> dict[int, tuple[int, int, int]]:
+        self.bloom, self.run_bloom = (_bitmap(x) for x in (self.hash, K.mix(np.concatenate(runs)) if runs else self.hash[:0]))
+
+    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in the text, items, places in the items) of equal seeds, short items' included."""
+        t = _runs(h)
+        everywhere = [_whole(h, n) for n in sorted(self.short) if len(h) >= n] + [t] * bool(self.middle) + [_gapped(h)] * (WHOLE in self.middle)
+        found = [(np.arange(len(s)), s) for s in everywhere]
+        if len(t):
+            held = self.run_bloom[(K.mix(t) >> K.U(64 - BLOOM_BITS)).astype(np.int64)]
+            for d in DISTANCES:
+                at = np.flatnonzero(held[:-d] & held[d:])
+                found.append((at, _pair(t[at], t[at + d], d)))
+        for at, s in found:
+            keep = self.bloom[(s >> K.U(64 - BLOOM_BITS)).astype(np.int64)]
+            at, s = at[keep], s[keep]
+            lo, hi = np.searchsorted(self.hash, s, "left"), np.searchsorted(self.hash, s, "right")
+            n = hi - lo
+            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(at, n), self.item[k], self.place[k]
+
+    def alignments(self, h: np.ndarray) -> np.ndarray:
+        """Rows (place in the text, item, shift of the text against the item) of the hits."""
+        found = list(self.hits(h))
+        at, item, place = (np.concatenate([x[c] for x in found] + [np.zeros(0, np.int64)]).astype(np.int64) for c in range(3))
+        return np.stack([at, item, at - place], axis=1)
+
+    def matches(self, h: np.ndarray, matches: int, identity: float, found: np.ndarray | None = None) -> dict[int, tuple[int, int, int]]:
         """Best contaminating overlap of each item: item -> (matches, first, last word)."""
         best: dict[int, tuple[int, int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
-        for a, i, p in sorted(self.hits(h), key=lambda x: (x[1], x[0] - x[2], x[0])):
-            if done.get((i, a - p), -1) >= a:
-                continue
-            n, first, last = overlap(h, self.words[i], a, p)
-            done[i, a - p] = max(last, a)
-            if n >= min(matches, len(self.words[i])) and n >= identity * (last - first + 1) and (i not in best or (-n, first) < (-best[i][0], best[i][1])):
+        found = self.alignments(h)[:, 1:] if found is None else found
+        for i, shift in np.unique(found, axis=0).tolist():
+            n, first, last = overlap(h, self.words[i], shift, identity)
+            if n >= required(len(self.words[i]), matches, identity) and (i not in best or (-n, first) < (-best[i][0], best[i][1])):
                 best[i] = n, first, last
         return best
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BLOOM_BITS, bool)
+    out[(hashes >> K.U(64 - BLOOM_BITS)).astype(np.int64)] = True
+    return out
+
+
 _OUT = "doc_id long, item_id long, n_match int, first_word int, last_word int"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -128,27 +179,37 @@ def _match(index, matches: int, identity: float):
             for a, _, data, offs in K.slices(batch.column(1)):
                 starts, ends, first = K.words(data, offs, K.ALNUM)
                 h = K.word_hashes(data, starts, ends)
-                at = np.unique(np.concatenate([np.searchsorted(first, np.array(sorted({x for x, _, _ in own.hits(h)}), np.int64), "right") - 1, np.zeros(0, np.int64)])).astype(int)
-                out = []
-                for d in at.tolist():
-                    for i, (n, lo, hi) in own.matches(h[first[d] : first[d + 1]], matches, identity).items():
+                found = own.alignments(h)
+                doc = np.searchsorted(first, found[:, 0], "right") - 1
+                order = np.argsort(doc, kind="stable")
+                found, doc, out = found[order], doc[order], []
+                for some in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []:
+                    d = int(doc[some[0]])
+                    shifts = found[some][:, 1:] - np.array([0, first[d]])
+                    for i, (n, lo, hi) in own.matches(h[first[d] : first[d + 1]], matches, identity, shifts).items():
                         out.append((ids[a + d], own.ids[i], n, lo, hi))
                 yield _rows(out)
 
     return run
 
 
-def _emit(lengths: set[int]):
-    """Seed hashes of texts, for the join: (id, hash, place)."""
+def _emit(lengths: set[int] | None):
+    """Seed hashes of texts, for the join: (id, seed).  lengths: those of the items under LONG words; None for the items' own seeds."""
+
+    def seeds(h: np.ndarray) -> list[np.ndarray]:
+        if lengths is None:
+            return _item_seeds(h) if len(h) else []
+        t = _runs(h)
+        found = [_pair(t[:-d], t[d:], d) for d in DISTANCES if len(t) > d]
+        found += [_whole(h, n) for n in sorted(lengths) if n < WHOLE and len(h) >= n]
+        return found + [t] * any(n >= WHOLE for n in lengths) + [_gapped(h)] * (WHOLE in lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = np.frombuffer(data.as_py(), np.uint8)
                 starts, ends, _ = K.words(raw, np.array([0, len(raw)]), K.ALNUM)
-                h = K.word_hashes(raw, starts, ends)
-                found = [s for _, s in _seeds(h)] + [K.mix(K.runs(h, tuple(range(n))) + K.U(1000 + n)) for n in sorted(lengths) if len(h) >= n]
-                for s in found:
+                for s in seeds(K.word_hashes(raw, starts, ends)):
                     yield pa.RecordBatch.from_arrays([pa.array([doc] * len(s), pa.int64()), pa.array(K.signed(s))], ["id", "seed"])
 
     return run
@@ -171,8 +232,8 @@ def _pairs(matches: int, identity: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", matches: int = MATCHES, identity: float = IDENTITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Overlaps of documents with benchmark items: doc_id, item_id, n_match, first_word, last_word (the best of each pair).
 
-    Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased; places count from 0.  Items shorter
-    than every mask count if they stand whole and unchanged in a text.  Null and empty texts and items, and an empty
+    Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased; places count from 0.  The promise
+    that no overlap is missed holds for matches of 12 and more and an identity of 0.75 and more.  Null and empty texts and items, and an empty
     benchmark, give no rows; repeated items give a row each; rows with a null id are left out; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -183,8 +244,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         index = spark.sparkContext.broadcast(Index([(r.item_id, bytes(r.item)) for r in items.orderBy("item_id").collect()]))
         return base.mapInArrow(_match(index, matches, identity), _OUT)
     words = F.size(F.filter(F.split(F.decode("item", "UTF-8"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
-    short = {r[0] for r in items.select(words.alias("n")).where(f"n between 1 and {MASKS[0][-1]}").distinct().collect()}
+    short = {r[0] for r in items.select(words.alias("n")).where(f"n between 1 and {LONG - 1}").distinct().collect()}
     one = base.mapInArrow(_emit(short), "id long, seed long").distinct().withColumnRenamed("id", "doc_id")
-    two = items.mapInArrow(_emit(short), "id long, seed long").distinct().withColumnRenamed("id", "item_id")
+    two = items.mapInArrow(_emit(None), "id long, seed long").distinct().withColumnRenamed("id", "item_id")
     pairs = one.join(two, "seed").select("doc_id", "item_id").distinct()
     return pairs.join(base, "doc_id").join(items, "item_id").select("doc_id", "item_id", "data", "item").mapInArrow(_pairs(matches, identity), _OUT)

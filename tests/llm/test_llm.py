@@ -246,6 +246,42 @@ def test_decontamination(spark):
     assert decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_substitutions(spark):
+    r = random.Random(6)
+    items, docs, want = [], [], {}
+    for n in [*range(8, 60), 200]:
+        for kind in range(4):
+            k = len(items)
+            item = [f"v{k}x{j}" for j in range(n)]
+            most = n - (n * 3 + 3) // 4
+            at = range(kind, n, 4) if kind < 3 else r.sample(range(n), most)
+            at = list(at)[:most]
+            items.append((k, " ".join(item)))
+            new = ["other" if j in at else w for j, w in enumerate(item)]
+            docs.append((k, " ".join([f"a{r.randrange(10**9)}" for _ in range(9)] + new + ["z"] * r.randrange(9))))
+            places = [9 + j for j in range(n) if j not in at]
+            want[k] = (len(places), places[0], places[-1])
+    for n, at in ((15, (3, 7, 11, 14)), (8, (1, 3, 5)), (7, (3,))):
+        k = len(items)
+        items.append((k, " ".join(f"v{k}x{j}" for j in range(n))))
+        docs.append((k, " ".join("other" if j in at else f"v{k}x{j}" for j in range(n))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 0):
+        got = {x.doc_id: (x.item_id, x.n_match, x.first_word, x.last_word) for x in decontam.contaminated(d, b, broadcast_bytes=limit).collect()}
+        assert got == {k: (k, *x) for k, x in want.items()}
+
+
+def test_decontamination_overlap_is_the_best_window():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        same = r.random(int(r.integers(1, 50))) < 0.7
+        item = np.arange(len(same))
+        n, first, last = decontam.overlap(np.where(same, item, -1), item, 0, 0.75)
+        assert n == max(int(same[i:j].sum()) if same[i:j].sum() >= 0.75 * (j - i) else 0 for j in range(len(same) + 1) for i in range(j + 1))
+        assert n == 0 or (same[first] and same[last] and same[first : last + 1].sum() == n >= 0.75 * (last + 1 - first))
+
+
 def test_waterfill_and_allocation():
     assert mixing.waterfill(10, [(1, 2), (1, 100), (2, 100)]) == pytest.approx([2, 8 / 3, 16 / 3])
     leaves = {("a", "en", "a1"): 10, ("a", "fr", "a1"): 100, ("b", "en", "b1"): 1000}
