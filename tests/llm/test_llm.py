@@ -189,6 +189,15 @@ def test_html_template(spark):
     assert got[99] == "" and got[98] == "only"
 
 
+def test_html_template_inside_a_marked_article(spark):
+    def page(i):
+        return f"<body><article><p>Read our other stories at the end of this page</p><h1>Story {i}</h1><p>{'words of story number %d and more, ' % i * 6}</p><p>The same closing line of the site</p></article></body>"
+
+    df = spark.createDataFrame([(i, "http://h.com/x", page(i)) for i in range(8)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert all(got[i].startswith(f"Story {i} words") and "closing" not in got[i] and "Read our" not in got[i] for i in range(8))
+
+
 def test_lm_score(docs, rows):
     got = {r.doc_id: r for r in lm_scoring.score(docs, K.crc_mod("doc_id", 7) == 2).collect()}
     c, ends = collections.Counter(), 0
