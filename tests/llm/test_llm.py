@@ -198,6 +198,22 @@ def test_html_template_inside_a_marked_article(spark):
     assert all(got[i].startswith(f"Story {i} words") and "closing" not in got[i] and "Read our" not in got[i] for i in range(8))
 
 
+def test_html_template_of_layouts_and_pairs(spark):
+    def page(host, i, kind):
+        story = f"<h2>Story {i}</h2><p>{'words of story number %d and more, ' % i * 6}</p>"
+        a = f"<body><div><p>Notice on all pages of {host}</p></div><div>{story}</div></body>"
+        b = f"<body><section><p>Another notice of the minor layout</p>{story}</section></body>"
+        return (i, f"http://{host}/{i}", (a, b, "", "no tags")[kind])
+
+    rows = [page("big", i, 0 if i % 10 > 1 else i % 10 + 1 if i % 20 < 10 else 1) for i in range(100)] + [page("big", 900, 3)]
+    rows += [page("two", 1000 + i, 0) for i in range(2)] + [page("copies", 2000, 0)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    for i, _, text in rows:
+        assert got[i] == ("" if not text else text if i == 900 else got[i])
+        assert not text or i == 900 or f"Story {i} words" in got[i] and (i == 2000 or "otice" not in got[i])
+
+
 def test_lm_score(docs, rows):
     got = {r.doc_id: r for r in lm_scoring.score(docs, K.crc_mod("doc_id", 7) == 2).collect()}
     c, ends = collections.Counter(), 0
