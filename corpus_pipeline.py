@@ -32,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 100 bytes and more that stand earlier; documents of which nothing is left go."""
-    kept = suffix_dedup.dedup_windows(docs, whole_chars=True).where("n_removed < n_bytes or n_bytes = 0").select("doc_id", F.col("kept").cast("string").alias("kept_"), "n_removed")
-    out = docs.join(kept, "doc_id").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_")).otherwise(F.col("text")))
+    rows, _ = K.keyed(docs, "doc_id", "text")
+    kept = suffix_dedup.dedup_windows(rows, "row_key_", whole_chars=True).where("n_removed < n_bytes or n_bytes = 0").select(F.col("doc_id").alias("row_key_"), F.col("kept").cast("string").alias("kept_"), "n_removed")
+    out = rows.join(kept, "row_key_").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_")).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
     return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
@@ -46,8 +47,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's documents, a row for each epoch."""
-    taken = K.stored(mixing.mix(docs), "pipeline-mix").select("doc_id", "domain", "n_tokens", "epoch")
-    return docs.join(taken, "doc_id")
+    rows, repeated = K.keyed(docs, "doc_id", "text")
+    taken = K.stored(mixing.mix(rows, doc_id="row_key_") if repeated else mixing.mix(docs), "pipeline-mix").select(F.col("doc_id").alias("row_key_"), "domain", "n_tokens", "epoch")
+    return rows.join(taken, "row_key_").select(*docs.columns, "domain", "n_tokens", "epoch")
 
 
 STAGES = [

@@ -194,3 +194,15 @@ def parts(spark: SparkSession) -> int:
 
 def sha(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """docs with row_key_, a key of each row in the order of the ids, and whether ids repeat.
+
+    The key is the id if all are unique; else rows are sorted by id and text, so of repeated rows the one with the
+    smaller text counts as earlier (equal ones in any order), and those without an id are left out."""
+    known = docs.withColumn("row_key_", F.col(doc_id).cast("long"))
+    if known.where("row_key_ is not null").groupBy("row_key_").count().where("count > 1").limit(1).count() == 0:
+        return known, False
+    ordered = known.where("row_key_ is not null").orderBy("row_key_", F.col(text).asc_nulls_first())
+    return stored(ordered.withColumn("row_key_", F.monotonically_increasing_id()), "row-keys"), True

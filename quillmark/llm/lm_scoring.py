@@ -188,9 +188,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     Returns a row per document: doc_id, held_out, n_tokens (words and one end), n_known (those seen in training),
     train_tokens, base_score (add-one unigram over words and the end, log10), score (log10 marginal probability over
     all segmentations, the end included).  Null texts count as empty: one end.  Without training rows every word is
-    unseen and the vocabulary empty.  Rows with a null id are left out; other columns are ignored.
+    unseen and the vocabulary empty.  Rows with a null id are left out, those with one id are scored each; other
+    columns are ignored.
     """
     spark = docs.sparkSession
+    rows, repeated = K.keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out")), "doc_id", "text")
+    if repeated:
+        out = score(rows, F.col("held_out"), "row_key_", "text", pieces).withColumnRenamed("doc_id", "row_key_")
+        return out.join(rows.select("row_key_", "doc_id"), "row_key_").select("doc_id", *[c for c in out.columns if c != "row_key_"])
     if pieces is None:
         import public_tokenizers
 

@@ -244,11 +244,15 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (remaining bytes), spans.
     whole_chars: keep the characters that a removed run cuts, so that what is kept is UTF-8.
     Null and empty texts have no bytes and nothing removed; texts shorter than the window stay whole; other
-    columns are ignored; a doc_id must be unique and not null (rows with a null id are left out).
+    columns are ignored; rows with a null id are left out.  Of rows with one id, that with the smaller text is earlier.
     """
     gram = min(GRAM, window)
     if not 8 <= window <= 255 + gram:
         raise ValueError("window must be from 8 to 287 bytes")
+    rows, repeated = K.keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    if repeated:
+        out = dedup_windows(rows, "row_key_", "text", window, whole_chars).withColumnRenamed("doc_id", "row_key_")
+        return out.join(rows.select("row_key_", "doc_id"), "row_key_").select(_CUT_NAMES)
     n = K.parts(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), K.text_bytes(text).alias("data")).where("doc_id is not null")
     digits, spans = "digit1 long, digit2 long, doc_id long, place long", "doc_id long, lo int, hi int, kind int, anchor int"

@@ -397,3 +397,20 @@ def test_pipeline(spark, docs, tmp_path):
     assert kept == {i for i, (_, c) in near.items() if c == i}
     assert P.drop_contaminated(spark, d, str(tmp_path)).where("doc_id = 30").count() == 0
     assert all(f(spark, d, str(tmp_path)).columns == d.columns for _, f in P.STAGES[:-1])
+
+
+def test_repeated_rows(spark):
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long, "en", "s1", len(long))] * 2 + [(2, "a short text", "en", "s1", 12)] * 2 + [(3, "another one", "en", "s1", 11)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id, r.n_bytes - r.n_removed) for r in suffix_dedup.dedup_windows(d).collect())
+    assert got == [(1, 0), (1, len(long)), (2, 12), (2, 12), (3, 11)]
+    assert sorted((r.doc_id, r.text) for r in P.drop_repeated_passages(spark, d, "").collect()) == [(1, long), (2, "a short text"), (2, "a short text"), (3, "another one")]
+    mixed = [(r.doc_id, r.epoch) for r in P.mix_sources(spark, d, "").collect()]
+    assert max(collections.Counter(mixed).values()) <= 2 and {r.n_tokens for r in P.mix_sources(spark, d, "").collect()} <= {60, 3, 2}
+    held = F.col("doc_id") == 3
+    one = {r.doc_id: r for r in lm_scoring.score(d, held).collect()}
+    assert sorted(r.doc_id for r in lm_scoring.score(d, held).collect()) == [1, 1, 2, 2, 3]
+    assert one[2].n_tokens == 4 and one[2].n_known == 4 and one[1].n_known == 61
