@@ -167,19 +167,57 @@ def crc_mod(doc_id: str, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local master may go without the setting: its executors share the driver's disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        own = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        base = own or f"file:///tmp/checkpoints/{os.getpid()}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file:///tmp/checkpoints/{os.getpid()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths of the tables written so far, oldest first.
+_written: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The shuffle files that led to it go as soon as it is written: nothing reads them again."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of stored() that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_path)
+
+
+def written() -> int:
+    """How many tables have been written; for clear()."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes the tables written since then; to be called when the results that read them are written."""
+    for path in _written[since:]:
+        if path != keep:
+            remove(spark, path)
+    _written[since:] = [p for p in _written[since:] if p == keep]
 
 
 def remove(spark: SparkSession, path: str) -> None:

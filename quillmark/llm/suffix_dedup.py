@@ -12,8 +12,13 @@ The sort is most significant digit first and never goes deeper than the threshol
            the bytes common to all windows of the quarter, then the whole quarter
   digit 4  the windows themselves, only for the first members of different quarters with equal common bytes
 Each pass is a shuffle by digit and a sort within partitions that streams over groups with a state of one
-row, so a group of any size is never gathered.  Digits are compared by hashes: 64 bits for each digit, and
-two independent 64-bit hashes for each decision to remove.
+row, so a group of any size is never gathered.  A member that its own task already knows not to be the first of
+its group is dealt out at random, not by its digit: of a hot group about one row a task meets in one place.
+Digits are compared by hashes: 64 bits for each digit, and two independent 64-bit hashes for each decision to remove.
+
+This is not the plain sort of every suffix, token by token: that would shuffle a row for each byte of text, over ten
+times the input.  Anchors stand for the suffixes around them, and a digit is a stretch of bytes; what comes out is
+the same, as equal groups at the last depth are exactly the repeated windows.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillmark.llm import kernels as K
 
@@ -31,6 +37,43 @@ WINDOW, GRAM = 100, 32
 _POS = 22
 
 
+class _Firsts:
+    """Of the groups met lately in one task, the least member so far: tells rows that can't be first of their group.
+
+    A table of fixed size; a group that another one took the place of is only sent again.  The least member of a group
+    is never told to be later, whatever the order of rows."""
+
+    def __init__(self, bits: int = 17):
+        self.shift = K.U(64 - bits)
+        self.key, self.doc, self.place = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+
+    def later(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), bool)
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        if same.any():
+            sub = order[np.append(same, False) | np.append(False, same)]
+            sub = sub[np.lexsort((place[sub], doc[sub], key[sub]))]
+            out[sub[1:][key[sub][1:] == key[sub][:-1]]] = True
+        least = np.flatnonzero(~out)
+        at = (key[least] >> self.shift).astype(np.int64)
+        known = self.key[at] == key[least]
+        after = known & ((self.doc[at] < doc[least]) | ((self.doc[at] == doc[least]) & (self.place[at] <= place[least])))
+        out[least[after]] = True
+        at, least = at[~after], least[~after]
+        at, last = np.unique(at[::-1], return_index=True)
+        least = least[::-1][last]
+        self.key[at], self.doc[at], self.place[at] = key[least], doc[least], place[least]
+        return out
+
+
+def _routed(firsts: _Firsts, d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """digit1 and place as sent: of rows that aren't first, digit1 is random and place is ~place (negative)."""
+    gone = firsts.later(K.mix(d1 + K.mix(d2)), doc, place)
+    spread = K.mix(doc.astype(np.uint64) * K.WORD_KEYS[3] + place.astype(np.uint64) * K.WORD_KEYS[4])
+    return np.where(gone, spread, d1), np.where(gone, ~place, place)
+
+
 def _pieces(ids: np.ndarray, column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, place of the first byte in its text, bytes, offsets); long texts come in overlapping pieces."""
     for a, b, data, offs in K.slices(column):
@@ -46,6 +89,7 @@ def _anchors(window: int, gram: int):
     width = window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for batch in batches:
             for ids, base, data, offs in _pieces(batch.column(0).to_numpy(), batch.column(1), window):
                 count = np.maximum(0, np.diff(offs) - window + 1)
@@ -71,10 +115,9 @@ def _anchors(window: int, gram: int):
                 lo, hi, p, row = at[first], at[last], anchor[first], row[first]
                 deep = K.span_hash(K.prefix(data, 1, False), 1, lo, hi + window)
                 deep = K.mix(deep + (p - lo).astype(np.uint64) * K.WORD_KEYS[0] + (hi - lo).astype(np.uint64) * K.WORD_KEYS[1])
-                place = lo - offs[row] + base[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(h[p])), pa.array(K.signed(deep)), pa.array(ids[row]), pa.array((place << 16) | ((p - lo) << 8) | (hi - lo))], ["digit1", "digit2", "doc_id", "place"]
-                )
+                place = (lo - offs[row] + base[row] << 16) | ((p - lo) << 8) | (hi - lo)
+                digit1, place = _routed(firsts, h[p], deep, ids[row], place)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(digit1)), pa.array(K.signed(deep)), pa.array(ids[row]), pa.array(place)], ["digit1", "digit2", "doc_id", "place"])
 
     return run
 
@@ -85,9 +128,12 @@ def _classes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = last = None  # the newest first member, (digit1, doc, place, whether others share its digit1 before it); the last row's digits
         for batch in batches:
-            if not batch.num_rows:
-                continue
             d1, d2, doc, place = (c.to_numpy() for c in batch.columns)
+            if (told := place < 0).any():  # their task knew an earlier member
+                yield _spans(doc[told], ~place[told], told.sum())
+                d1, d2, doc, place = d1[~told], d2[~told], doc[~told], place[~told]
+            if not len(d1):
+                continue
             new1, new2 = np.empty(len(d1), bool), np.empty(len(d1), bool)
             new1[1:] = d1[1:] != d1[:-1]
             new2[1:] = new1[1:] | (d2[1:] != d2[:-1])
@@ -136,6 +182,7 @@ def _quarters(window: int, gram: int):
     width = -(-(window - gram + 1) // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for batch in batches:
             for doc, a, data, s, e, p in _stretches(batch, window):
                 low, high = (p - e + 1) // width, (p - s) // width
@@ -148,7 +195,8 @@ def _quarters(window: int, gram: int):
                 core = K.mix(core + q.astype(np.uint64) * K.WORD_KEYS[2])
                 whole = K.span_hash(sums[1], 1, at, end - 1 + window)
                 whole = K.mix(whole + (p - at).astype(np.uint64) * K.WORD_KEYS[0] + (end - at).astype(np.uint64) * K.WORD_KEYS[1])
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(core)), pa.array(K.signed(whole)), pa.array(np.full(len(at), doc)), pa.array(((at + a) << 16) | ((p - at) << 8) | (end - at - 1))], ["digit1", "digit2", "doc_id", "place"])
+                digit1, place = _routed(firsts, core, whole, np.full(len(at), doc), ((at + a) << 16) | ((p - at) << 8) | (end - at - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(digit1)), pa.array(K.signed(whole)), pa.array(np.full(len(at), doc)), pa.array(place)], ["digit1", "digit2", "doc_id", "place"])
 
     return run
 
@@ -157,12 +205,14 @@ def _windows(window: int):
     """Hashes of the windows that start in the given stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for batch in batches:
             for doc, a, data, s, e, _ in _stretches(batch, window):
                 n = e - s
                 at = np.arange(n.sum()) + np.repeat(s - (np.cumsum(n) - n), n)
-                w = [K.signed(K.span_hash(K.prefix(data, k, False), k, at, at + window)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(len(at), doc)), pa.array((at + a).astype(np.int32))], ["w1", "w2", "doc_id", "lo"])
+                w = [K.span_hash(K.prefix(data, k, False), k, at, at + window) for k in (0, 1)]
+                w1, lo = _routed(firsts, w[0], w[1], np.full(len(at), doc), at + a)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(w1)), pa.array(K.signed(w[1])), pa.array(np.full(len(at), doc)), pa.array(lo.astype(np.int32))], ["w1", "w2", "doc_id", "lo"])
 
     return run
 
@@ -176,10 +226,16 @@ def _later(window: int):
             if not batch.num_rows:
                 continue
             w1, w2, doc, lo = (c.to_numpy() for c in batch.columns)
-            same = np.empty(len(w1), bool)
-            same[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-            same[0] = last == (w1[0], w2[0])
-            last = w1[-1], w2[-1]
+            same = lo < 0  # their task knew an earlier window
+            lo = np.where(same, ~lo, lo)
+            rest = np.flatnonzero(~same)
+            if len(rest):
+                own1, own2 = w1[rest], w2[rest]
+                again = np.empty(len(rest), bool)
+                again[1:] = (own1[1:] == own1[:-1]) & (own2[1:] == own2[:-1])
+                again[0] = last == (own1[0], own2[0])
+                last = own1[-1], own2[-1]
+                same[rest] = again
             yield pa.RecordBatch.from_arrays([pa.array(doc[same]), pa.array(lo[same]), pa.array(lo[same] + np.int32(window))], ["doc_id", "lo", "hi"])
 
     return run
@@ -209,7 +265,10 @@ def _whole(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut(whole_chars: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _cut_batch(batch, whole_chars)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                out = _cut_batch(part.select([0, 1, 3]), whole_chars)
+                yield pa.RecordBatch.from_arrays([*out.columns, part.column(2)], [*_CUT_NAMES, "rest"])
 
     return run
 
@@ -237,11 +296,12 @@ _CUT_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"
 _CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
 
 
-def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, whole_chars: bool = False) -> DataFrame:
+def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, whole_chars: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that also starts earlier.
 
     Earlier: in a document with a smaller id, or before in the same one.  One row for each row of docs:
-    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (remaining bytes), spans.
+    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (remaining bytes), spans, and with
+    `keep` a struct `rest` of those columns of docs.
     whole_chars: keep the characters that a removed run cuts, so that what is kept is UTF-8.
     Null and empty texts have no bytes and nothing removed; texts shorter than the window stay whole; other
     columns are ignored; rows with a null id are left out.  Of rows with one id, that with the smaller text is earlier.
@@ -249,29 +309,31 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     gram = min(GRAM, window)
     if not 8 <= window <= 255 + gram:
         raise ValueError("window must be from 8 to 287 bytes")
-    rows, repeated = K.keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    if repeated:
-        out = dedup_windows(rows, "row_key_", "text", window, whole_chars).withColumnRenamed("doc_id", "row_key_")
-        return out.join(rows.select("row_key_", "doc_id"), "row_key_").select(_CUT_NAMES)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep or []], F.col(doc_id).cast("long").alias("own_id_")).alias("rest"))
+    rows, _ = K.keyed(own, "doc_id", "text")
     n = K.parts(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), K.text_bytes(text).alias("data")).where("doc_id is not null")
+    base = rows.where("row_key_ is not null").select("row_key_", K.text_bytes("text").alias("data"), "rest")
     digits, spans = "digit1 long, digit2 long, doc_id long, place long", "doc_id long, lo int, hi int, kind int, anchor int"
-    span = F.collect_list(F.struct("lo", "hi")).alias("spans")
-    stretch = F.collect_list(F.struct("lo", "hi", "anchor")).alias("spans")
+    # In order, so that a task that runs again sends the same rows.
+    span = F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")
+    stretch = F.array_sort(F.collect_list(F.struct("lo", "hi", "anchor"))).alias("spans")
 
     def classes(rows: DataFrame, name: str) -> DataFrame:
         ordered = rows.repartition(n, "digit1").sortWithinPartitions("digit1", "digit2", "doc_id", "place")
         return K.stored(ordered.mapInArrow(_classes(window), spans), name)
 
     def unequal(found: DataFrame) -> DataFrame:
-        return by_doc.join(found.where("kind = 1").groupBy("doc_id").agg(stretch), "doc_id")
+        texts = base.select(F.col("row_key_").alias("doc_id"), "data")
+        return texts.join(found.where("kind = 1").groupBy("doc_id").agg(stretch), "doc_id")
 
-    by_doc = base.repartition(n, "doc_id")
-    whole = classes(base.mapInArrow(_anchors(window, gram), digits), "suffix-stretches")
+    whole = classes(base.select("row_key_", "data").mapInArrow(_anchors(window, gram), digits), "suffix-stretches")
     quarter = classes(unequal(whole).mapInArrow(_quarters(window, gram), digits), "suffix-quarters")
     windows = unequal(quarter).mapInArrow(_windows(window), "w1 long, w2 long, doc_id long, lo int")
     later = windows.repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc_id", "lo").mapInArrow(_later(window), "doc_id long, lo int, hi int")
-    gone = whole.unionByName(quarter).where("kind = 0").drop("kind", "anchor").unionByName(later).groupBy("doc_id").agg(span)
-    return by_doc.join(gone, "doc_id", "left").mapInArrow(
-        _cut(whole_chars), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"
-    )
+    gone = whole.unionByName(quarter).where("kind = 0").drop("kind", "anchor").unionByName(later).groupBy(F.col("doc_id").alias("row_key_")).agg(span)
+    gone = K.stored(gone, "suffix-spans")
+    K.discard(whole, quarter)
+    schema = StructType([*StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<lo:int,hi:int>>"), base.schema["rest"]])
+    out = base.join(gone, "row_key_", "left").select("row_key_", "data", "rest", "spans").mapInArrow(_cut(whole_chars), schema)
+    out = out.withColumn("doc_id", F.col("rest.own_id_"))
+    return out.select(*_CUT_NAMES, F.col("rest").dropFields("own_id_").alias("rest")) if keep else out.select(_CUT_NAMES)
