@@ -32,11 +32,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 100 bytes and more that stand earlier; documents of which nothing is left go."""
-    rows, _ = K.keyed(docs, "doc_id", "text")
-    kept = suffix_dedup.dedup_windows(rows, "row_key_", whole_chars=True).where("n_removed < n_bytes or n_bytes = 0").select(F.col("doc_id").alias("row_key_"), F.col("kept").cast("string").alias("kept_"), "n_removed")
-    out = rows.join(kept, "row_key_").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_")).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = suffix_dedup.dedup_windows(docs.withColumn("no_text_", F.col("text").isNull()), whole_chars=True, keep=[c for c in docs.columns if c != "text"] + ["no_text_"])
+    kept = kept.where("n_removed < n_bytes or n_bytes = 0")
+    text = F.when(~F.col("rest.no_text_"), F.col("kept").cast("string"))
+    own = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[own[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = K.written()
         docs = K.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        K.clear(spark, since, keep=docs.stored_path)
     return docs
