@@ -173,9 +173,9 @@ def test_license_suppression(spark):
 
 def test_html():
     page = '<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav>m</nav><div class="ad">buy</div><article><h1>Hi &amp; you</h1><p><b>One<br>two<p>three&nbsp;x<ul><li>a<li>b</ul><script>var t="</p>";</script><section class="comments"><p>bad</p></section></article><footer>f</footer></body></html>'
-    assert html_extract.main_text(page, []) == "Hi & you One two three x a b"
+    assert html_extract.main_text(page) == "Hi & you One two three x a b"
     for x, y in (("", ""), (None, ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<!-- x", ""), ("<script>x", ""), ('<p title="a>b">c</p>', "c"), ("</p>", ""), ("a<b>b</b>c", "abc")):
-        assert html_extract.main_text(x, []) == y
+        assert html_extract.main_text(x) == y
 
 
 def test_html_template(spark):
@@ -214,6 +214,74 @@ def test_html_template_of_layouts_and_pairs(spark):
         assert not text or i == 900 or f"Story {i} words" in got[i] and (i == 2000 or "otice" not in got[i])
 
 
+def random_shape(r, depth=3):
+    keys, kids = [], []
+
+    def grow(key, left):
+        at = len(keys)
+        keys.append(key)
+        kids.append([])
+        for _ in range(r.randint(0, 3) if left else 0):
+            kids[at].append(grow(r.choice("abc"), left - 1))
+        return at
+
+    grow("root", depth)
+    return html_extract.Shape(keys, kids)
+
+
+def test_tree_matching_against_brute_force():
+    def brute(a, b, i, j):
+        if a.keys[i] != b.keys[j]:
+            return 0
+        xs, ys = a.kids[i], b.kids[j]
+
+        def rest(x, y):  # every way to pair children in order
+            if x == len(xs) or y == len(ys):
+                return 0
+            return max([rest(x + 1, y)] + [brute(a, b, xs[x], ys[k]) + rest(x + 1, k + 1) for k in range(y, len(ys))])
+
+        return 1 + rest(0, 0)
+
+    r = random.Random(8)
+    for _ in range(150):
+        a, b = random_shape(r), random_shape(r)
+        n, found = html_extract.align(a, b)
+        assert n == brute(a, b, 0, 0) == len(found)
+        assert all(a.keys[i] == b.keys[j] for i, j in found.items()) and len(set(found.values())) == n
+        up = [{c: i for i, own in enumerate(t.kids) for c in own} for t in (a, b)]
+        assert all(found[up[0][i]] == up[1][j] for i, j in found.items() if i)
+        assert html_extract.align(a, a)[0] == len(a.keys)
+        back = html_extract.Shape.read(a.written())
+        assert (back.keys, back.kids) == (a.keys, a.kids)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<a " * 1_700_000, "<div>x" * 50_000, "<b><h2>" * 30_000 + "<li>" * 30_000, "<a \"x'" * 200_000 + ">", "<header>" * 50_000 + "x", "</p>" * 100_000, "<" * 1_000_000])
+def test_html_of_any_depth(page):
+    html_extract.main_text(page, html_extract.Template([html_extract.Shape(["root"], [[]])], {(0, 0, 0)}))
+
+
+def test_html_hidden_and_class_words():
+    assert html_extract.main_text("<div hidden>secret words</div><p>x y z</p>") == "x y z"
+    assert html_extract.main_text('<article><p class="alert">stays</p><p class="ad">goes</p><div class="notice">goes</div><div class="side">stays</div></article>') == "stays stays"
+
+
+def test_html_template_changes_real_pages(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    line = "<p>Read our other stories below, updated every day</p></article>"
+    with_line = pages.withColumn("html", F.replace("html", F.lit("</article>"), F.lit(line)))
+    plain = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    got = {r.page_id: r.text for r in html_extract.extract(with_line).collect()}
+    hosts = collections.Counter(r.h for r in pages.select(html_extract.host_of("url").alias("h")).collect())
+    many = {r.page_id for r in pages.select("page_id", html_extract.host_of("url").alias("h")).collect() if hosts[r.h] > 1}
+    assert len(many) > 10 and sum("updated every day" not in got[i] for i in many) >= 0.9 * len(many)
+    assert all(got[i] in (plain[i], plain[i] + " Read our other stories below, updated every day") for i in plain)
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    assert {r.page_id: r.text for r in html_extract.extract(with_line).collect()} == got
+    none = spark.createDataFrame([(1, None, "<p>a b</p>"), (1, None, "<p>a b</p>"), (2, None, None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(none).collect()) == [(1, "a b", 3), (1, "a b", 3), (2, "", 0)]
+    assert html_extract.extract(none.limit(0)).count() == 0
+
+
 def test_lm_score(docs, rows):
     got = {r.doc_id: r for r in lm_scoring.score(docs, K.crc_mod("doc_id", 7) == 2).collect()}
     c, ends = collections.Counter(), 0
