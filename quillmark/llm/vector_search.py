@@ -4,8 +4,9 @@ The tree is fitted on a bounded sample; every vector is then put into its leaf.
 priority queue of branches by distance to their centre, opening leaves in that order; how many leaves is calibrated:
 the number is widened until the recall on held-back sample queries reaches the target.  The scores are exact.
 
-Vectors are packed into blocks of one leaf each, at most BLOCK rows, so a crowded leaf is many blocks, and each block
-meets, in one matrix product, the queries that opened its leaf.
+Vectors and queries of a leaf are dealt into cells: a crowded leaf, or one that many queries open, is a grid of them,
+so that a cell holds at most about CELL_BYTES of either, whatever the data.  Each cell compares its queries with its
+vectors by matrix products and sends the k best of each query.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import kernels as K
 
-SAMPLE, BRANCH, LEAF_ROWS, BLOCK = 30_000, 8, 400, 4096
+#: The sample is bounded for fitting the tree only; every row is indexed.
+SAMPLE, BRANCH, LEAF_ROWS, CELL_BYTES = 30_000, 8, 400, 8 << 20
 RECALL, PROBES = 0.97, 200
 
 
@@ -98,8 +100,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit(vectors: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE, seed: int = 5) -> tuple[Tree, int]:
-    """A tree from at most about `sample` rows (evenly by a hash of the id), and the leaves to visit for the recall wanted.
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors of a list column without nulls, as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def fit(vectors: DataFrame, k: int, dim: int, recall: float = RECALL, sample: int = SAMPLE, seed: int = 5) -> tuple[Tree, int, np.ndarray, np.ndarray]:
+    """A tree from at most about `sample` rows (evenly by a hash of the id), and the leaves to visit for the recall wanted;
+    about how many rows each leaf has, and the share of queries that open it.
 
     The recall is measured on at most PROBES rows with different vectors, which the tree is not fitted on, against all
     of the sample by brute force: each probe's share of its k nearest, averaged.  Of rows that tie for the last places
@@ -107,16 +116,17 @@ def fit(vectors: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE
     total = vectors.count()
     share = min(1.0, sample / max(1, total))
     own = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else vectors
-    rows = own.orderBy("id").collect()
-    if not rows:
-        return Tree(np.zeros((0, 1)), 8, seed), 1
-    x = _unit(np.array([r.v for r in rows]))
+    rows = own.orderBy("id").toArrow()
+    if not rows.num_rows:
+        return Tree(np.zeros((0, 1)), 8, seed), 1, np.zeros(1), np.ones(1)
+    x = _unit(_matrix(rows.column("v"), dim))
     kinds = np.sort(np.unique(x, axis=0, return_index=True)[1])
     probes = kinds[np.unique(np.linspace(0, len(kinds) - 1, min(PROBES, -(-len(kinds) // 2))).astype(int))]
     rest = np.delete(x, probes, axis=0)
     tree = Tree(rest if len(rest) else x, int(LEAF_ROWS * share), seed)
     leaf = tree.assign(x)
     reached, scored = np.zeros(tree.n_leaves + 1), 0
+    places = []
     for p in probes:
         s = x @ x[p]
         s[p] = -2
@@ -126,42 +136,70 @@ def fit(vectors: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE
         edge = np.partition(s, len(s) - want)[len(s) - want]
         place = np.empty(tree.n_leaves, np.int64)
         place[tree.best_bins(x[p], tree.n_leaves)] = np.arange(tree.n_leaves)
+        places.append(place)
         better, level = (np.cumsum(np.bincount(place[leaf[near]] + 1, minlength=tree.n_leaves + 1)) for near in (s > edge + 1e-12, np.abs(s - edge) <= 1e-12))
         reached += (better + np.minimum(level, want - better[-1])) / want
         scored += 1
-    return tree, max(1, int(np.searchsorted(reached / max(1, scored), recall - 1e-9)))
+    visits = max(1, int(np.searchsorted(reached / max(1, scored), recall - 1e-9)))
+    opened = (np.mean([p < visits for p in places], axis=0) if places else np.ones(tree.n_leaves)) + 1 / max(1, len(probes))
+    return tree, visits, np.bincount(leaf, minlength=tree.n_leaves) / share, opened
+
+
+class Grid:
+    """Cells of each leaf: its vectors in `down` parts, the queries that open it in `across`."""
+
+    def __init__(self, rows: np.ndarray, opened: np.ndarray, most: int):
+        self.down, self.across = (np.maximum(1, np.ceil(n / most)).astype(np.int64) for n in (rows, opened))
+        self.first = np.concatenate([[0], np.cumsum(self.down * self.across)])
+
+    def of_vectors(self, ids: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): a vector meets every part of its leaf's queries."""
+        part = (K.mix(ids.astype(np.uint64)) % self.down[leaf].astype(np.uint64)).astype(np.int64)
+        n = self.across[leaf]
+        row = np.repeat(np.arange(len(ids)), n)
+        return row, self.first[leaf][row] + part[row] * n[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+    def of_queries(self, ids: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = (K.mix(ids.astype(np.uint64)) % self.across[leaf].astype(np.uint64)).astype(np.int64)
+        n = self.down[leaf]
+        row = np.repeat(np.arange(len(ids)), n)
+        return row, self.first[leaf][row] + part[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * self.across[leaf][row]
+
 
+_DEALT = ["cell", "id", "data"]
 
-def _place(tree):
-    """Blocks of one leaf: ids and the vectors' bytes."""
+
+def _dealt(cell: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    width = x.shape[1] * x.itemsize
+    data = pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids), data.cast(pa.binary())], _DEALT)
+
+
+def _place(tree, grid, dim: int):
+    """Vectors by the cells of their leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                ids, leaf = batch.column(0).to_numpy(), tree.value.assign(_unit(x))
-                order = np.argsort(leaf, kind="stable")
-                for a in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-                    for k in range(0, len(a), BLOCK):
-                        b = a[k : k + BLOCK]
-                        yield pa.RecordBatch.from_arrays([pa.array([int(leaf[b[0]])], pa.int32()), pa.array([ids[b].tolist()], pa.list_(pa.int64())), pa.array([x[b].tobytes()], pa.binary())], ["leaf", "ids", "data"])
+                x, ids = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
+                row, cell = grid.value.of_vectors(ids, tree.value.assign(_unit(x)))
+                yield _dealt(cell, ids[row], x[row])
 
     return run
 
 
-def _ask(tree, visits: int):
-    """Queries by the leaves they open, packed by leaf."""
+def _ask(tree, grid, visits: int, dim: int):
+    """Queries by the cells of the leaves they open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                ids, unit, by = batch.column(0).to_numpy(), _unit(x), {}
-                for i in range(len(x)):
-                    for leaf in tree.value.best_bins(unit[i], visits):
-                        by.setdefault(leaf, []).append(i)
-                leaves = list(by)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array([ids[by[f]].tolist() for f in leaves], pa.list_(pa.int64())), pa.array([x[by[f]].tobytes() for f in leaves], pa.binary())], ["leaf", "q_ids", "q_data"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x, ids = _matrix(part.column(1), dim), part.column(0).to_numpy()
+                leaves = [tree.value.best_bins(q, visits) for q in _unit(x)]
+                asked = np.repeat(np.arange(len(x)), [len(own) for own in leaves])
+                row, cell = grid.value.of_queries(ids[asked], np.concatenate(leaves).astype(np.int64))
+                yield _dealt(cell, ids[asked][row], x[asked][row])
 
     return run
 
@@ -180,31 +218,27 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[nth < k], v[nth < k], s[nth < k]
 
 
-def _compare(k: int, dim: int):
-    """Each task keeps the k best of each query over all its blocks, and sends those."""
+def _compare(k: int, dim: int, kind: str):
+    """The k best vectors of each query of a cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, q_ids = batch.column(1)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
-                x, q = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, dim) for c in (2, 4))
-                unit = _unit(x)
-                for a in range(0, len(q), 512):
-                    own = q_ids[a : a + 512]
-                    near = _unit(q[a : a + 512]) @ unit.T
-                    near[own[:, None] == ids[None, :]] = -3.0
-                    edge = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -2.0)
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        data, _ = K.buffers(table.column("data").combine_chunks())
+        return table.column("id").to_numpy(), np.frombuffer(data, kind).reshape(-1, dim).astype(np.float64)
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if vectors.num_rows and queries.num_rows:
+            (ids, x), (q_ids, q) = read(vectors), read(queries)
+            for b in range(0, len(ids), 8192):
+                own, unit = ids[b : b + 8192], _unit(x[b : b + 8192])
+                for a in range(0, len(q), 256):
+                    near = _unit(q[a : a + 256]) @ unit.T
+                    near[q_ids[a : a + 256, None] == own[None, :]] = -3.0
+                    edge = np.partition(near, len(own) - k, axis=1)[:, len(own) - k] if len(own) > k else np.full(len(near), -2.0)
                     r, c = np.nonzero(near >= np.maximum(edge, -2.0)[:, None] - 1e-9)
-                    held.append(_best(own[r], ids[c], cosine(q[a + r], x[c]), k))
-                    size += len(held[-1][0])
-                if size > 400_000:
-                    held = [_best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)]
-                    size = len(held[0][0])
-        if held:
-            out = _best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    held.append(_best(q_ids[a + r], own[c], cosine(q[a + r], x[b + c]), k))
+        out = _best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     return run
 
@@ -214,25 +248,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
 
     Nearest first, ties to the smaller vec_id; a query's own id is no candidate.  Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor do those with another length than most; rows with a null id
-    neither.  Repeated ids keep one vector each row.  Other columns are ignored.
+    neither.  Rows with one id are vectors each, and their queries are one query's.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     length = vectors.where(F.size(embedding) > 0).groupBy(F.size(embedding).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = length[0].n if length else 1
 
+    single = vectors.schema[embedding].dataType.elementType.simpleString() == "float"
+
     def sound(df: DataFrame) -> DataFrame:
-        v = F.transform(F.col(embedding), lambda e: e.cast("double"))
+        v = F.transform(F.col(embedding), lambda e: e.cast("float" if single else "double"))
         fine = F.forall(F.col("v"), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(F.col("v"), lambda e: e != 0)
         return df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where((F.size("v") == dim) & F.col("id").isNotNull()).where(fine)
 
     base, asked = sound(vectors), sound(queries)
-    tree, visits = fit(base, k, recall)
-    sent = spark.sparkContext.broadcast(tree)
-    n = K.parts(spark)
-    blocks = base.mapInArrow(_place(sent), "leaf int, ids array<long>, data binary")
-    opened = asked.mapInArrow(_ask(sent, visits), "leaf int, q_ids array<long>, q_data binary")
-    met = blocks.join(opened, "leaf").select("leaf", "ids", "data", "q_ids", "q_data").repartition(n)
-    best = met.mapInArrow(_compare(k, dim), "query_id long, vec_id long, score double")
+    tree, visits, rows, opened = fit(base, k, dim, recall)
+    kind = "f4" if single else "f8"
+    grid = Grid(rows, opened * asked.count(), max(256, CELL_BYTES // (dim * np.dtype(kind).itemsize)))
+    sent, cells = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(grid)
+    dealt = "cell long, id long, data binary"
+    placed = base.mapInArrow(_place(sent, cells, dim), dealt).groupBy("cell")
+    met = asked.mapInArrow(_ask(sent, cells, visits, dim), dealt).groupBy("cell")
+    best = placed.cogroup(met).applyInArrow(_compare(k, dim, kind), "query_id long, vec_id long, score double")
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))
     top = best.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
     out = top.select("query_id", F.posexplode("top").alias("pos", "hit"))

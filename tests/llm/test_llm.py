@@ -423,6 +423,19 @@ def test_vector_search(spark):
     assert vector_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_in_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(1, 8)) + 0.01 * rng.normal(size=(700, 8)), rng.normal(size=(300, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist())], "vec_id long, embedding array<double>")
+    want = sorted(vector_search.search(df, df.where("vec_id % 10 = 0"), recall=1.0).collect())
+    monkeypatch.setattr(vector_search, "CELL_BYTES", 0)
+    assert vector_search.Grid(np.array([700.0, 1.0]), np.array([300.0, 1.0]), 256).first.tolist() == [0, 6, 7]
+    assert sorted(vector_search.search(df, df.where("vec_id % 10 = 0"), recall=1.0).collect()) == want
+    near = vector_search.cosine(x[10], x)
+    near[10] = -9
+    assert [r.vec_id for r in want if r.query_id == 10] == np.lexsort((np.arange(1000), -near))[:5].tolist()
+
+
 def test_vector_search_with_many_copies(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 16)).astype(np.float32)
@@ -478,6 +491,8 @@ def test_repeated_rows(spark):
     assert sorted((r.doc_id, r.text) for r in P.drop_repeated_passages(spark, d, "").collect()) == [(1, long), (2, "a short text"), (2, "a short text"), (3, "another one")]
     mixed = [(r.doc_id, r.epoch) for r in P.mix_sources(spark, d, "").collect()]
     assert max(collections.Counter(mixed).values()) <= 2 and {r.n_tokens for r in P.mix_sources(spark, d, "").collect()} <= {60, 3, 2}
+    joined = sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_join(d).collect())
+    assert joined == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 3)]
     held = F.col("doc_id") == 3
     one = {r.doc_id: r for r in lm_scoring.score(d, held).collect()}
     assert sorted(r.doc_id for r in lm_scoring.score(d, held).collect()) == [1, 1, 2, 2, 3]
