@@ -12,8 +12,8 @@ Of an item under 16 words, which can't hold 12 and lose a quarter, a share of ID
 of 12); its seeds are single runs of three words, for 8 words with one word left out too.  Items of under 8 words must
 stand whole and unchanged.
 
-The benchmark's seeds are broadcast only if its size, which is measured first, is under a bound; a larger one is
-met by a join on the seed hash.
+The benchmark's seeds are broadcast only if the index they make, whose size is measured first, is under a bound; a
+larger one is met by a join on the seed hash.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ WHOLE, LONG = 8, 16
 #: Seeds of items of exactly WHOLE words, besides RUN.
 GAPPED = (0, 1, 3)
 MATCHES, IDENTITY = 12, 0.75
-BROADCAST_BYTES = 32 << 20
+#: Bytes of a word in the index: a hash, an item and a place for each seed that begins with it, and its own hash.
+WORD_BYTES = 24 * len(DISTANCES) + 8
+BROADCAST_BYTES = 96 << 20
 BLOOM_BITS = 22
 
 
@@ -239,11 +241,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), K.text_bytes(text).alias("data")).where("doc_id is not null")
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), K.text_bytes(item_text).alias("item")).where("item_id is not null and length(item) > 0")
-    bytes_ = items.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
-    if bytes_ <= broadcast_bytes:
+    words = F.size(F.filter(F.split(F.decode("item", "UTF-8"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    size = items.agg(F.coalesce(F.sum(words * WORD_BYTES + F.lit(64)), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
         index = spark.sparkContext.broadcast(Index([(r.item_id, bytes(r.item)) for r in items.orderBy("item_id").collect()]))
         return base.mapInArrow(_match(index, matches, identity), _OUT)
-    words = F.size(F.filter(F.split(F.decode("item", "UTF-8"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
     short = {r[0] for r in items.select(words.alias("n")).where(f"n between 1 and {LONG - 1}").distinct().collect()}
     one = base.mapInArrow(_emit(short), "id long, seed long").distinct().withColumnRenamed("id", "doc_id")
     two = items.mapInArrow(_emit(None), "id long, seed long").distinct().withColumnRenamed("id", "item_id")

@@ -20,41 +20,46 @@ LEVELS = ("domain", "lang", "source")
 RANGES = 4096
 #: The tree is small: its leaves are kinds of sources, and more than this many are refused.
 MAX_LEAVES = 1_000_000
+#: A plan of more rows (about 100 bytes each) is not broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def waterfill(budget: float, nodes: list[tuple[float, float]]) -> list[float]:
     """Shares of budget for (weight, capacity) siblings: in proportion to weights, what is over capacity goes to the others."""
-    out, open_, left = [0.0] * len(nodes), [i for i, (w, c) in enumerate(nodes) if w > 0 and c > 0], budget
-    while open_ and left > 1e-9:
-        total = sum(nodes[i][0] for i in open_)
-        full = [i for i in open_ if left * nodes[i][0] / total >= nodes[i][1] - out[i]]
-        if not full:
-            for i in open_:
-                out[i] += left * nodes[i][0] / total
+    out, left = [0.0] * len(nodes), budget
+    # Those that fill up first at a rising level of budget for each unit of weight.
+    open_ = sorted((c / w, i) for i, (w, c) in enumerate(nodes) if w > 0 and c > 0)
+    total = sum(nodes[i][0] for _, i in open_)
+    for k, (level, i) in enumerate(open_):
+        w, c = nodes[i]
+        if left <= 0 or left < level * total:
+            for _, j in open_[k:]:
+                out[j] = max(0.0, left) * nodes[j][0] / total
             break
-        for i in full:
-            left -= nodes[i][1]
-            out[i] = nodes[i][1]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = c
+        left -= c
+        total -= w
     return out
 
 
 def allocate(leaves: dict[tuple, int], budget: float, weight: Callable[[tuple], float], max_epochs: float) -> dict[tuple, float]:
     """Token budget of each leaf.  weight(path) of a node among its siblings; a node can take what its leaves can."""
 
-    def capacity(at: tuple) -> float:
-        return sum(n * max_epochs for p, n in leaves.items() if p[: len(at)] == at and all(weight(p[:k]) > 0 for k in range(len(at) + 1, len(p) + 1)))
-
-    def down(at: tuple, share: float) -> None:
-        if len(at) == len(LEVELS):
-            out[at] = share
-            return
-        below = sorted({p[: len(at) + 1] for p in leaves if p[: len(at)] == at}, key=str)
-        for p, x in zip(below, waterfill(share, [(weight(p), capacity(p)) for p in below]), strict=True):
-            down(p, x)
-
-    out: dict[tuple, float] = {}
-    down((), min(budget, capacity(())))
+    below: dict[tuple, list[tuple]] = {}
+    capacity: dict[tuple, float] = {p: n * max_epochs for p, n in leaves.items()}
+    level = sorted(leaves, key=str)
+    for depth in reversed(range(len(LEVELS))):  # one pass bottom-up: children and what they can take
+        for p in level:
+            below.setdefault(p[:depth], []).append(p)
+            capacity[p[:depth]] = capacity.get(p[:depth], 0.0) + (capacity[p] if weight(p) > 0 else 0.0)
+        level = list(dict.fromkeys(p[:depth] for p in level))
+    out: dict[tuple, float] = {(): min(budget, capacity.get((), 0.0))}
+    for _ in LEVELS:  # and one top-down: what each is given
+        given = {}
+        for at, share in out.items():
+            own = below.get(at, [])
+            given |= zip(own, waterfill(share, [(weight(p), capacity[p]) for p in own]), strict=True)
+        out = given
     return out
 
 
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, budget: float | None = None, share: float = 0.5, weight
     names = dict(zip(LEVELS, (domain_of(source), F.coalesce(F.col(lang), F.lit("")), F.coalesce(F.col(source), F.lit(""))), strict=True))
     base = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(k) for k, c in names.items()], token_column(text).alias("n_tokens"))
     base = K.stored(base, "mix-tokens").where("n_tokens > 0")
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(64))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(64)).cast("int")
     totals = base.groupBy(*LEVELS, spread.alias("salt")).agg(F.sum("n_tokens").alias("n")).groupBy(*LEVELS).agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(totals) > MAX_LEAVES:
         raise ValueError("too many leaves")
@@ -95,8 +100,13 @@ def mix(docs: DataFrame, budget: float | None = None, share: float = 0.5, weight
                 rows.append((*path, e, float(part)))
     spark = docs.sparkSession
     plan = spark.createDataFrame(rows, "domain string, lang string, source string, epoch int, want double").coalesce(1) if rows else spark.createDataFrame([], "domain string, lang string, source string, epoch int, want double")
-    # As many rows as leaves and epochs, a number checked above.
-    own = base.join(F.broadcast(plan), list(LEVELS)).withColumn("h", F.xxhash64("doc_id", F.lit(seed), "epoch"))
+    # A small plan is broadcast, a larger one is joined: a hot leaf is dealt by the documents' hash as well.
+    if len(rows) <= BROADCAST_ROWS:
+        own = base.join(F.broadcast(plan), list(LEVELS))
+    else:
+        salts = F.explode(F.expr("sequence(0, 63)"))
+        own = base.withColumn("salt", spread).join(plan.withColumn("salt", salts).hint("merge"), [*LEVELS, "salt"]).drop("salt")
+    own = own.withColumn("h", F.xxhash64("doc_id", F.lit(seed), "epoch"))
     own = own.withColumn("range", F.pmod(F.shiftright("h", 52), F.lit(RANGES)))
     keys = [*LEVELS, "epoch"]
     ranges = own.groupBy(*keys, "range").agg(F.sum("n_tokens").alias("n"))

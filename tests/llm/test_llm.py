@@ -402,6 +402,60 @@ def test_mixing(docs, rows):
     assert sorted(mixing.mix(docs.repartition(3), share=0.4).collect()) == sorted(got)
 
 
+def levelled(budget, nodes):
+    """Shares by a common level of budget for each unit of weight, found by bisection."""
+    top = max([c / w for w, c in nodes if w > 0] + [0.0])
+    if budget >= sum(c for w, c in nodes if w > 0):
+        return [c if w > 0 else 0.0 for w, c in nodes]
+    lo, hi = 0.0, top
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(c, mid * w) for w, c in nodes) < budget else (lo, mid)
+    return [min(c, lo * w) for w, c in nodes]
+
+
+def test_waterfill_is_a_common_level():
+    r = random.Random(1)
+    for _ in range(300):
+        nodes = [(r.choice([0, 1, 2, 0.5]), r.choice([0, 3, 10, 100.5])) for _ in range(r.randint(0, 8))]
+        budget = r.uniform(0, 150)
+        assert mixing.waterfill(budget, nodes) == pytest.approx(levelled(budget, nodes), abs=1e-6)
+
+
+def test_mixing_against_brute_force(docs, rows, monkeypatch):
+    got = {(r.doc_id, r.epoch) for r in mixing.mix(docs, share=0.7).collect()}
+    tokens = {i: len((t or "").encode().split()) for i, t, *_ in rows}
+    leaf = {i: (re.sub("[0-9]$", "", source or ""), lang or "", source or "") for i, _, lang, source, _ in rows}
+    cap = collections.Counter()
+    for i, n in tokens.items():
+        cap[leaf[i]] += n
+    cap = {k: 2 * n for k, n in cap.items() if n}
+
+    def down(at, share):
+        if len(at) == 3:
+            return {at: share}
+        below = sorted({k[: len(at) + 1] for k in cap if k[: len(at)] == at})
+        out = {}
+        for p, x in zip(below, levelled(share, [(1, sum(c for k, c in cap.items() if k[: len(p)] == p)) for p in below]), strict=True):
+            out |= down(p, x)
+        return out
+
+    budgets = down((), 0.7 * sum(tokens.values()))
+    hashes = {e: {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(17), F.lit(e)).alias("h")).collect()} for e in (0, 1)}
+    want = set()
+    for k, budget in budgets.items():
+        own = [i for i in tokens if leaf[i] == k and tokens[i]]
+        for e in (0, 1):
+            left = min(cap[k] / 2, budget - e * cap[k] / 2)
+            for i in sorted(own, key=lambda i: (hashes[e][i] % 2**64, i)):
+                if left > 1e-6:
+                    want.add((i, e))
+                    left -= tokens[i]
+    assert got == want
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
+    assert {(r.doc_id, r.epoch) for r in mixing.mix(docs, share=0.7).collect()} == got
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
