@@ -159,6 +159,63 @@ def test_license_scan(spark):
     assert len(license_scan.signatures()) > 200
 
 
+def samples(tree):
+    """Texts that a pattern matches: each branch and each optional part once."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            new = [chr(arg)]
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = samples(arg[2])
+            new = [x * arg[0] for x in one[: 1 if not arg[0] else None]] + ([one[-1]] if arg[1] > arg[0] == 0 else [])
+        elif kind == "BRANCH":
+            new = [x for b in arg[1] for x in samples(b)]
+        elif kind == "SUBPATTERN":
+            new = samples(arg[3])
+        else:
+            assert kind == "IN"
+            new = ["word"] if str(arg[0][0]) in ("CATEGORY", "NEGATE") else [chr(a) for _, a in arg]
+        out = [x + y for x in out[:6] for y in new] if len(out) * len(new) <= 600 else [x + new[k % len(new)] for k, x in enumerate(out)]
+    return out
+
+
+def test_each_license_rule(spark):
+    from re import _parser
+
+    texts = []
+    for label, rx, gate, priority in license_scan.signatures():
+        for t in samples(_parser.parse(rx)):
+            t = f" {t} "
+            assert re.search(f" (?:{rx})(?= )", t) and f" {gate}" in t and any(r in t for r in license_scan.ROOTS), (label, rx, t)
+        texts += [(t.strip(), label, priority), ("word " + " ".join(x + "q" for x in t.split()) + " word", None, priority)]
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in license_scan.scan(df).collect():
+        got[r.doc_id].add((r.label, r.priority, r.kept))
+    for k, (text, label, priority) in enumerate(texts):
+        found = {(a, p) for a, p, _ in got[k]}
+        assert (label, priority) in found if label else not found, (text, label, found)
+        assert not label or any(kept for _, _, kept in got[k])
+
+
+def test_license_wordings(spark):
+    want = {
+        "Permission is hereby granted, free of charge, to any person": "mit", "Redistribution and use in source and binary forms, with": "bsd", "GNU GPL v2": "gpl-2", "licensed under the LGPL 2.1": "lgpl-2.1",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2", "the BSD 3-Clause license": "bsd-3-clause", "GPL-3.0-only": "gpl-3", "LGPLv2.1": "lgpl-2.1", "MPL 2.0": "mpl-2", "nothing of the kind": "", "CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa-4.0",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": "gpl-3",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(want)] + [(0, list(want)[0]), (None, "MPL 2.0")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.labels) for r in license_scan.license_scan(df).collect()), key=str)
+    assert got == sorted([(k, x) for k, x in enumerate(want.values())] + [(0, "mit"), (None, "mpl-2")], key=str)
+
+
+def test_license_scan_of_a_long_text(spark):
+    text = "Licensed under the MIT License. " * 40_000
+    r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (200_000, 40_000, 1, 199_996, "mit")
+
+
 def test_license_suppression(spark):
     rows = [(1, "in", 3, 2, 5), (1, "out", 3, 1, 6), (1, "best", 1, 3, 4), (1, "twin", 3, 1, 6), (1, "alone", 6, 8, 9), (2, "in", 3, 2, 5)]
     df = spark.createDataFrame(rows, "doc_id long, label string, priority int, first long, last long")
