@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-GOVERNED = ("auto_accepted", "clinician_confirmed", "corrected")
+def contains_text(c: Column, part: str) -> Column:
+    """Whether a text contains another whatever the case; marks that patterns use are taken as they are."""
+    return F.coalesce(F.contains(F.lower(c), F.lit(part.lower())), F.lit(False))
 
 
-def governed(state: Column, current: Column) -> Column:
-    """The one definition of a governed fact; a null state is held."""
-    return F.coalesce(current & state.isin(*GOVERNED), F.lit(False))
+def licensed_only(df: DataFrame, system: str, codes: list[str], status: str, licensed: list[str]) -> DataFrame:
+    """Codes of a system without a licence are masked and their status is local_only."""
+    fine = F.coalesce(F.upper(system).isin(*licensed), F.lit(False))
+    return df.withColumns({c: F.when(fine, F.col(c)) for c in codes} | {status: F.when(fine, F.col(status)).otherwise("local_only")})
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -43,29 +46,35 @@ def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"))
 
 
-def conflicts(facts: DataFrame, same: list[str], code: str, key: str, value: str, eps: float = 1e-6) -> DataFrame:
-    """Pairs of facts of one subject, null-safe equal code, smaller key first: duplicate or value_mismatch."""
-    a, b = facts.alias("a"), facts.alias("b")
-    on = F.col(f"a.{key}") < F.col(f"b.{key}")
-    for c in same:
-        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    on = on & F.col(f"a.{code}").eqNullSafe(F.col(f"b.{code}"))
-    kind = F.when(F.abs(F.coalesce(F.col(f"a.{value}"), F.lit(0.0)) - F.coalesce(F.col(f"b.{value}"), F.lit(0.0))) <= eps, "duplicate").otherwise("value_mismatch")
-    return a.join(b, on).select(F.col(f"a.{key}").alias("left_key"), F.col(f"b.{key}").alias("right_key"), kind.alias("kind"))
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder that spark.checkpoint.dir names (a local master may do without the setting)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(own or f"file:///tmp/checkpoints/{sc.applicationId}")
+    return df.checkpoint()
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """G1: smallest node reachable from each node of links (a, b), by label joins with pointer jumping."""
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
+def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """G1: (node, label): the smallest node reachable from each node of links (a, b), by label joins with pointer jumping.
+
+    Goes on until no label changes; rounds grow with the logarithm of a component's diameter.  nodes (one column): all
+    of them get a row, those without a link their own label."""
+    edges = cut(links.select("a", "b").union(links.select("b", "a")).dropna().distinct())
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hop = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        nxt = labels.withColumnRenamed("label", "was").join(near, "node").withColumn("at", F.least("was", "near")).join(hop, "at").select("node", "was", F.least("at", "jump").alias("label")).checkpoint()
+        nxt = cut(labels.withColumnRenamed("label", "was").join(near, "node").withColumn("at", F.least("was", "near")).join(hop, "at").select("node", "was", F.least("at", "jump").alias("label")))
         labels = nxt.select("node", "label")
         if not nxt.where("was <> label").limit(1).count():
             break
-    return labels
+    if nodes is None:
+        return labels
+    own = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    return own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def greedy_groups(df: DataFrame, key: str, text: str, order: list[str], threshold: float, similarity) -> DataFrame:

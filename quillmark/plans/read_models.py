@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.operators.relational import conflicts, current, latest, upsert
+from quillmark.operators.relational import current, latest, upsert
 from quillmark.plans.registry import Tables, query
 
 GOV = "event_type IN ('view', 'purchase', 'signup')"
@@ -56,13 +56,6 @@ def supersession_current(t: Tables):
     return current(rows, "event_id", "supersedes").select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT a.event_id AS left_key, b.event_id AS right_key, CASE WHEN abs(coalesce(a.value,0)-coalesce(b.value,0)) <= 1e-6 THEN 'duplicate' ELSE 'value_mismatch' END AS kind
- FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND a.event_type IS NOT DISTINCT FROM b.event_type AND a.event_id < b.event_id""")
-def conflict_pairs(t: Tables):
-    """J9, P4, Z2."""
-    return conflicts(t.events.withColumn("day", F.to_date("ts")), ["user_id", "day"], "event_type", "event_id", "value")
-
-
 @query("""SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_suppliers,
  (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_orderstatus = 'O') AS n_open FROM nation""")
 def customer_360(t: Tables):
