@@ -4,9 +4,9 @@ The tree is fitted on a bounded sample; every vector is then put into its leaf.
 priority queue of branches by distance to their centre, opening leaves in that order; how many leaves is calibrated:
 the number is widened until the recall on held-back sample queries reaches the target.  The scores are exact.
 
-Vectors and queries of a leaf are dealt into cells: a crowded leaf, or one that many queries open, is a grid of them,
-so that a cell holds at most about CELL_BYTES of either, whatever the data.  Each cell compares its queries with its
-vectors by matrix products and sends the k best of each query.
+Vectors, and queries with the leaves they open, are dealt into cells: some neighbouring leaves each, or a part of a
+crowded leaf (or of one that many queries open), so that a cell holds at most about CELL_BYTES of either, whatever the
+data.  Each cell compares its queries with its vectors, leaf by leaf, and sends the k best of each query.
 """
 
 from __future__ import annotations
@@ -146,11 +146,22 @@ def fit(vectors: DataFrame, k: int, dim: int, recall: float = RECALL, sample: in
 
 
 class Grid:
-    """Cells of each leaf: its vectors in `down` parts, the queries that open it in `across`."""
+    """Cells of the leaves: neighbouring leaves share one while they hold at most `most` vectors and queries; a larger leaf is
+    a grid of its own, its vectors in `down` parts, the queries that open it in `across`."""
 
     def __init__(self, rows: np.ndarray, opened: np.ndarray, most: int):
         self.down, self.across = (np.maximum(1, np.ceil(n / most)).astype(np.int64) for n in (rows, opened))
-        self.first = np.concatenate([[0], np.cumsum(self.down * self.across)])
+        self.first = np.zeros(len(rows), np.int64)
+        cells, held, asked, shared = 0, 0.0, 0.0, False
+        for k in range(len(rows)):
+            alone = self.down[k] * self.across[k] > 1
+            if not shared or alone or held + rows[k] > most or asked + opened[k] > most:
+                self.first[k], held, asked = cells, 0.0, 0.0
+                cells += int(self.down[k] * self.across[k])
+            else:
+                self.first[k] = cells - 1
+            shared, held, asked = not alone, held + rows[k], asked + opened[k]
+        self.cells = cells
 
     def of_vectors(self, ids: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell): a vector meets every part of its leaf's queries."""
@@ -166,13 +177,13 @@ class Grid:
         return row, self.first[leaf][row] + part[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * self.across[leaf][row]
 
 
-_DEALT = ["cell", "id", "data"]
+_DEALT = "cell long, id long, data binary, leaves array<int>"
 
 
-def _dealt(cell: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-    width = x.shape[1] * x.itemsize
-    data = pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))])
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids), data.cast(pa.binary())], _DEALT)
+def _dealt(cell: np.ndarray, ids: np.ndarray, x: np.ndarray, leaves: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    data = pa.Array.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(leaves, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids), data.cast(pa.binary()), lists], [x.split()[0] for x in _DEALT.split(", ")])
 
 
 def _place(tree, grid, dim: int):
@@ -182,24 +193,29 @@ def _place(tree, grid, dim: int):
         for batch in batches:
             if batch.num_rows:
                 x, ids = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
-                row, cell = grid.value.of_vectors(ids, tree.value.assign(_unit(x)))
-                yield _dealt(cell, ids[row], x[row])
+                leaf = tree.value.assign(_unit(x))
+                row, cell = grid.value.of_vectors(ids, leaf)
+                yield _dealt(cell, ids[row], x[row], leaf[row], np.arange(1, len(row) + 1))
 
     return run
 
 
 def _ask(tree, grid, visits: int, dim: int):
-    """Queries by the cells of the leaves they open."""
+    """Queries by the cells of the leaves they open, with those leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 x, ids = _matrix(part.column(1), dim), part.column(0).to_numpy()
-                leaves = [tree.value.best_bins(q, visits) for q in _unit(x)]
-                asked = np.repeat(np.arange(len(x)), [len(own) for own in leaves])
-                row, cell = grid.value.of_queries(ids[asked], np.concatenate(leaves).astype(np.int64))
-                yield _dealt(cell, ids[asked][row], x[asked][row])
+                opened = [tree.value.best_bins(q, visits) for q in _unit(x)]
+                asked, leaf = np.repeat(np.arange(len(x)), [len(own) for own in opened]), np.concatenate(opened).astype(np.int64)
+                row, cell = grid.value.of_queries(ids[asked], leaf)
+                asked, leaf = asked[row], leaf[row]
+                order = np.lexsort((leaf, cell, asked))
+                asked, cell, leaf = asked[order], cell[order], leaf[order]
+                last = np.flatnonzero(np.append((asked[1:] != asked[:-1]) | (cell[1:] != cell[:-1]), True))
+                yield _dealt(cell[last], ids[asked[last]], x[asked[last]], leaf, last + 1)
 
     return run
 
@@ -219,30 +235,61 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _compare(k: int, dim: int, kind: str):
-    """The k best vectors of each query of a cell."""
+    """The k best vectors of each query of a cell, leaf by leaf."""
 
-    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
         data, _ = K.buffers(table.column("data").combine_chunks())
-        return table.column("id").to_numpy(), np.frombuffer(data, kind).reshape(-1, dim).astype(np.float64)
+        return table.column("id").to_numpy(), np.frombuffer(data, kind).reshape(-1, dim).astype(np.float64), table.column("leaves").combine_chunks()
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if vectors.num_rows and queries.num_rows:
-            (ids, x), (q_ids, q) = read(vectors), read(queries)
-            for b in range(0, len(ids), 8192):
-                own, unit = ids[b : b + 8192], _unit(x[b : b + 8192])
-                for a in range(0, len(q), 256):
-                    near = _unit(q[a : a + 256]) @ unit.T
-                    near[q_ids[a : a + 256, None] == own[None, :]] = -3.0
-                    edge = np.partition(near, len(own) - k, axis=1)[:, len(own) - k] if len(own) > k else np.full(len(near), -2.0)
-                    r, c = np.nonzero(near >= np.maximum(edge, -2.0)[:, None] - 1e-9)
-                    held.append(_best(q_ids[a + r], own[c], cosine(q[a + r], x[b + c]), k))
+            (ids, x, of), (q_ids, q, opened) = read(vectors), read(queries)
+            of, asked, leaf = of.flatten().to_numpy(), np.repeat(np.arange(len(q)), opened.value_lengths().to_numpy()), opened.flatten().to_numpy()
+            for f in np.unique(leaf):
+                rows, own = np.flatnonzero(of == f), asked[leaf == f]
+                for b in range(0, len(rows), 8192):
+                    part = rows[b : b + 8192]
+                    unit = _unit(x[part])
+                    for a in range(0, len(own), 256):
+                        some = own[a : a + 256]
+                        near = _unit(q[some]) @ unit.T
+                        near[q_ids[some][:, None] == ids[part][None, :]] = -3.0
+                        edge = np.partition(near, len(part) - k, axis=1)[:, len(part) - k] if len(part) > k else np.full(len(near), -2.0)
+                        r, c = np.nonzero(near >= np.maximum(edge, -2.0)[:, None] - 1e-9)
+                        held.append(_best(q_ids[some[r]], ids[part[c]], cosine(q[some[r]], x[part[c]]), k))
+                if len(held) > 64:
+                    held = [_best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)]
         out = _best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     return run
 
 
+def _best_of_task(k: int):
+    """Of all cells of a task the k best of each query; what is held is sent when it grows too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, names = [], 0, ["query_id", "vec_id", "score"]
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _best(*(np.concatenate(z) for z in zip(*held, strict=True)), k)
+
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            size += batch.num_rows
+            if size > 400_000:
+                held = [best()]
+                size = len(held[0][0])
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best()], names)
+
+    return run
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """The k nearest vectors found of each query by cosine: query_id, rank (from 1), vec_id, score.
 
@@ -264,12 +311,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     base, asked = sound(vectors), sound(queries)
     tree, visits, rows, opened = fit(base, k, dim, recall)
     kind = "f4" if single else "f8"
-    grid = Grid(rows, opened * asked.count(), max(256, CELL_BYTES // (dim * np.dtype(kind).itemsize)))
+    n = K.parts(spark)
+    most = min(CELL_BYTES // (dim * np.dtype(kind).itemsize), int(rows.sum()) // (2 * n))
+    grid = Grid(rows, opened * asked.count(), max(256, most))
     sent, cells = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(grid)
-    dealt = "cell long, id long, data binary"
-    placed = base.mapInArrow(_place(sent, cells, dim), dealt).groupBy("cell")
-    met = asked.mapInArrow(_ask(sent, cells, visits, dim), dealt).groupBy("cell")
-    best = placed.cogroup(met).applyInArrow(_compare(k, dim, kind), "query_id long, vec_id long, score double")
+    placed = base.mapInArrow(_place(sent, cells, dim), _DEALT).groupBy("cell")
+    met = asked.mapInArrow(_ask(sent, cells, visits, dim), _DEALT).groupBy("cell")
+    found = "query_id long, vec_id long, score double"
+    best = placed.cogroup(met).applyInArrow(_compare(k, dim, kind), found).mapInArrow(_best_of_task(k), found)
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))
     top = best.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
     out = top.select("query_id", F.posexplode("top").alias("pos", "hit"))

@@ -540,7 +540,8 @@ def test_vector_search_in_many_cells(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist())], "vec_id long, embedding array<double>")
     want = sorted(vector_search.search(df, df.where("vec_id % 10 = 0"), recall=1.0).collect())
     monkeypatch.setattr(vector_search, "CELL_BYTES", 0)
-    assert vector_search.Grid(np.array([700.0, 1.0]), np.array([300.0, 1.0]), 256).first.tolist() == [0, 6, 7]
+    grid = vector_search.Grid(np.array([700.0, 1.0, 100.0, 200.0]), np.array([300.0, 1.0, 1.0, 1.0]), 256)
+    assert grid.first.tolist() == [0, 6, 6, 7] and grid.cells == 8
     assert sorted(vector_search.search(df, df.where("vec_id % 10 = 0"), recall=1.0).collect()) == want
     near = vector_search.cosine(x[10], x)
     near[10] = -9
