@@ -43,7 +43,7 @@ def results_grid(t: Tables):
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def latest_per_key(t: Tables):
-    """W1, Z1."""
+    """The newest order of each customer."""
     return latest(t.orders, ["o_custkey"], F.desc("o_orderdate"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
@@ -109,7 +109,7 @@ def top_groups(t: Tables):
  (SELECT *, sum(c) OVER (PARTITION BY o_custkey) AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, length(o_orderpriority) DESC, o_orderpriority) AS rn FROM
  (SELECT o_custkey, o_orderpriority, count(*) AS c FROM orders GROUP BY 1, 2)) WHERE rn = 1""")
 def mode_with_ties(t: Tables):
-    """Most frequent value, then longest, with the share that agrees."""
+    """A10: most frequent value, then longest, with the share that agrees."""
     c = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("votes"))
     c = c.withColumn("total", F.sum("votes").over(Window.partitionBy("o_custkey")))
     best = latest(c, ["o_custkey"], F.desc("votes"), F.length("o_orderpriority").desc(), F.asc("o_orderpriority"))
@@ -118,7 +118,7 @@ def mode_with_ties(t: Tables):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, round(avg(value), 6) AS mean, max(value) AS top, median(value) AS med FROM events GROUP BY 1")
 def latency_quantiles(t: Tables):
-    """Exact quantiles."""
+    """Exact quantiles."""
     return t.events.groupBy("event_type").agg(F.expr("percentile(value, 0.5)").alias("p50"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("top"), F.median("value").alias("med"))
 
 
@@ -142,7 +142,7 @@ def band_join(t: Tables):
 @query("""SELECT a.l_orderkey, a.l_linenumber AS left_line, b.l_linenumber AS right_line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
  AND CAST(a.l_shipdate AS DATE) <= CAST(b.l_shipdate AS DATE) + CAST(b.l_quantity AS INTEGER) AND CAST(b.l_shipdate AS DATE) <= CAST(a.l_shipdate AS DATE) + CAST(a.l_quantity AS INTEGER)""")
 def interval_overlap(t: Tables):
-    """Spans that overlap within one key."""
+    """Spans that overlap within one key."""
     s = t.lineitem.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("lo"), F.expr("date_add(to_date(l_shipdate), cast(l_quantity as int))").alias("hi"))
     a, b = s.alias("a"), s.alias("b")
     return a.join(b, F.expr("a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.lo <= b.hi and b.lo <= a.hi")).select("a.l_orderkey", F.col("a.l_linenumber").alias("left_line"), F.col("b.l_linenumber").alias("right_line"))
@@ -150,14 +150,14 @@ def interval_overlap(t: Tables):
 
 @query("SELECT s_suppkey, count(DISTINCT l_orderkey) AS n_orders FROM (SELECT l_orderkey, list(DISTINCT l_suppkey) AS ids FROM lineitem GROUP BY 1) JOIN supplier ON list_contains(ids, s_suppkey) GROUP BY 1")
 def array_membership(t: Tables):
-    """Membership in an array as explode and an equi join."""
+    """Membership in an array as explode and an equi join."""
     arrays = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
     return arrays.select("l_orderkey", F.explode("ids").alias("s_suppkey")).join(t.supplier.select("s_suppkey"), "s_suppkey").groupBy("s_suppkey").agg(F.count_distinct("l_orderkey").alias("n_orders"))
 
 
 @query("SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier) AS in_both, n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier) AS only_customers FROM nation")
 def set_algebra(t: Tables):
-    """Intersection and difference of key sets."""
+    """Intersection and difference of key sets."""
     c, s = t.customer.select(F.col("c_nationkey").alias("n_nationkey")).distinct(), t.supplier.select(F.col("s_nationkey").alias("n_nationkey")).distinct()
     both, only = c.intersect(s).withColumn("b", F.lit(True)), c.exceptAll(s).withColumn("o", F.lit(True))
     return t.nation.select("n_nationkey").join(both, "n_nationkey", "left").join(only, "n_nationkey", "left").select("n_nationkey", F.coalesce("b", F.lit(False)).alias("in_both"), F.coalesce("o", F.lit(False)).alias("only_customers"))
@@ -173,7 +173,7 @@ def cross_minus_sent(t: Tables):
 @query("""SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice FROM
  (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' END AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 5 = 0) n ON o.o_orderkey = n.o_orderkey""")
 def upsert_coalesce(t: Tables):
-    """Null in the new row keeps the old value.  The two sides are the operator's two inputs."""
+    """K3, K7: null in the new row keeps the old value.  The two sides are the operator's two inputs."""
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
     old = t.orders.where("o_orderkey % 3 <> 0").select(cols)
     new = t.orders.where("o_orderkey % 5 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
@@ -182,7 +182,7 @@ def upsert_coalesce(t: Tables):
 
 @query("SELECT user_id, event_type, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(event_id, (ts, event_id)) AS last_example FROM events GROUP BY 1, 2")
 def counter_upsert(t: Tables):
-    """K4, A27, ST11: counters over an append-only log."""
+    """K4: counters over an append-only log."""
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_example"))
 
 
@@ -197,21 +197,21 @@ def first_nonempty_merge(t: Tables):
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(length(text), (turn, role, length(text))) AS n_chars FROM conversations GROUP BY conv_id")
 def latest_visit(t: Tables):
-    """W2, C7."""
+    """The last turn of each conversation."""
     rows = t.conversations.withColumn("n_chars", F.length("text").cast("long"))
     return latest(rows, ["conv_id"], F.desc_nulls_last("turn"), F.desc("role"), F.desc("n_chars")).select("conv_id", "turn", "n_chars")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract(props, '$.k') IS NOT NULL AS has_k FROM events")
 def json_path(t: Tables):
-    """S20, F40, P30."""
+    """A path of a JSON column."""
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.k").isNotNull().alias("has_k"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'quantity' AS fact_type, l_quantity AS value_num FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem
  UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem""")
 def eav_fanout(t: Tables):
-    """One row per fact."""
+    """One row for each value: the unpivot that fan-outs are made of."""
     return t.lineitem.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "fact_type", "value_num").withColumn("fact_type", F.substring("fact_type", 3, 20))
 
 
@@ -241,13 +241,13 @@ def audit_sample(t: Tables):
 
 @query("SELECT coalesce(l_returnflag, 'ALL') AS slice, count(*) AS n, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS n_f FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def overall_and_slices(t: Tables):
-    """Overall and by slice."""
+    """Overall and by slice."""
     return t.lineitem.rollup("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("n_f")).select(F.coalesce("l_returnflag", F.lit("ALL")).alias("slice"), "n", "n_f")
 
 
 @query("""SELECT o_custkey, max(v) AS version, count(DISTINCT h) AS n_contents FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS v, sha256(o_orderstatus || o_orderpriority) AS h FROM orders) GROUP BY 1""")
 def versioned_contents(t: Tables):
-    """A9, K14, F36."""
+    """Versions of a key, and its different contents."""
     v = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     o = t.orders.select("o_custkey", v.cast("long").alias("v"), F.sha2(F.concat("o_orderstatus", "o_orderpriority"), 256).alias("h"))
     return o.groupBy("o_custkey").agg(F.max("v").alias("version"), F.count_distinct("h").alias("n_contents"))
@@ -255,12 +255,12 @@ def versioned_contents(t: Tables):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def pending_gate(t: Tables):
-    """Subjects without anything pending."""
+    """Subjects without anything pending."""
     return t.customer.select("c_custkey").join(t.orders.where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("""SELECT l_orderkey, string_agg(l_linenumber::VARCHAR || ':' || l_returnflag, ';' ORDER BY l_linenumber, l_partkey, l_returnflag) AS lines FROM lineitem GROUP BY 1""")
 def ordered_children(t: Tables):
-    """Children gathered in order."""
+    """Children gathered in order."""
     s = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
     return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(s, lambda x: F.concat(x.l_linenumber.cast("string"), F.lit(":"), x.l_returnflag)), ";").alias("lines"))

@@ -6,19 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import clinical as C
-from quillmark.functions import similarity as S
 from quillmark.functions import text as X
-from quillmark.operators.relational import greedy_groups, latest
 from quillmark.plans.registry import Tables, query
 
 
-@query("""SELECT doc_id, regexp_replace(lower(left(text, 200)), '[^0-9a-z]', '', 'g') AS alnum, trim(regexp_replace(lower(left(text, 200)), '[^0-9a-z]+', ' ', 'g')) AS spaced FROM documents""")
-def normalise_text(t: Tables):
-    """F1-F3 on the text's title (its first 200 characters)."""
-    head = F.substring("text", 1, 200)
-    return t.documents.select("doc_id", X.key_alnum(head).alias("alnum"), X.words_only(head).alias("spaced"))
-
-
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS n_numbers, coalesce(array_to_string(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), ','), '') AS numbers FROM documents""")
 def numbers_extract(t: Tables):
     """F11."""
@@ -26,16 +17,10 @@ def numbers_extract(t: Tables):
     return t.documents.select("doc_id", F.size(n).cast("long").alias("n_numbers"), F.array_join(n, ",").alias("numbers"))
 
 
-@query("""SELECT conv_id, turn, role, regexp_matches(lower(text), '(ignore|disregard|forget) (all |any |the )?(previous|above|prior) (instructions|rules)|system prompt|you are now') AS suspect, regexp_matches(text, '[0-9]{3}') AS has_digits FROM conversations""")
-def regex_flags(t: Tables):
-    """P25, F14, F15."""
-    return t.conversations.select("conv_id", "turn", "role", X.injection_suspect(F.col("text")).alias("suspect"), F.col("text").rlike("[0-9]{3}").alias("has_digits"))
-
-
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 5 WHEN 3 THEN 'month' WHEN 4 THEN 'year' ELSE 'day' END AS precision,
  CASE o_orderkey % 5 WHEN 3 THEN date_trunc('month', o_orderdate)::DATE WHEN 4 THEN date_trunc('year', o_orderdate)::DATE ELSE o_orderdate::DATE END AS parsed FROM orders""")
 def partial_dates(t: Tables):
-    """dates written in five forms and parsed back."""
+    """dates written in five forms and parsed back."""
     d = F.col("o_orderdate")
     k = F.col("o_orderkey") % 5
     written = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "d/M/yyyy")).when(k == 2, F.date_format(d, "dd-MMM-yyyy")).when(k == 3, F.date_format(d, "yyyy-MM")).otherwise(F.date_format(d, "yyyy"))
@@ -43,82 +28,17 @@ def partial_dates(t: Tables):
     return o.select("o_orderkey", F.to_date("o_orderdate").alias("day"), "p.precision", F.col("p.day").alias("parsed"))
 
 
-RANGES = [("A", 1.0, 40.0), ("N", 1.0, 45.0), ("R", 5.0, 50.0)]
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < lo THEN 'below' WHEN l_quantity > hi THEN 'above' END AS finding FROM lineitem JOIN (VALUES ('A',1.0,40.0),('N',1.0,45.0),('R',5.0,50.0)) r(flag, lo, hi) ON l_returnflag = flag WHERE l_quantity < lo OR l_quantity > hi""")
-def range_findings(t: Tables):
-    """A range table (fixed, three rows) met by a broadcast join."""
-    r = F.broadcast(t.spark.createDataFrame(RANGES, "l_returnflag string, lo double, hi double"))
-    f = F.when(F.col("l_quantity") < F.col("lo"), "below").when(F.col("l_quantity") > F.col("hi"), "above")
-    return t.lineitem.join(r, "l_returnflag").select("l_orderkey", "l_linenumber", "l_partkey", f.alias("finding")).where("finding is not null")
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * (CASE l_linestatus WHEN 'F' THEN 1000.0 ELSE 1.0 END) * (1 + l_linenumber % 3), 3) AS mg_day, l_quantity * (CASE l_linestatus WHEN 'F' THEN 1000.0 ELSE 1.0 END) * (1 + l_linenumber % 3) > 1.5 * 40000 AS exceeds FROM lineitem""")
-def dose_ceiling(t: Tables):
-    """Milligrams a day against one and a half times a ceiling."""
-    unit = F.when(F.col("l_linestatus") == "F", "g").otherwise("mg")
-    mg = C.to_milligrams(F.col("l_quantity"), unit) * (1 + F.col("l_linenumber") % 3)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(mg, 3).alias("mg_day"), (mg > 1.5 * 40000).alias("exceeds"))
-
-
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity > 49 AS blocker, l_quantity > 45 AS warn, l_tax > 0.07 AS partial,
- round(greatest(0, least(1, CASE WHEN l_quantity > 49 THEN least(1 - l_discount / 10 - CASE WHEN l_tax > 0.07 THEN 0.3 ELSE 0 END, 0.5) WHEN l_quantity > 45 THEN least(1 - l_discount / 10 - CASE WHEN l_tax > 0.07 THEN 0.3 ELSE 0 END, 0.9)
- ELSE 1 - l_discount / 10 - CASE WHEN l_tax > 0.07 THEN 0.3 ELSE 0 END END)), 3) AS conf FROM lineitem)
- SELECT l_orderkey, l_linenumber, l_partkey, conf, CASE WHEN blocker OR partial OR l_returnflag = 'R' OR conf < 0.85 THEN 'in_review' WHEN conf >= 0.985 AND NOT warn THEN 'auto_accepted' WHEN conf >= 0.95 THEN 'auto_accepted' ELSE 'in_review' END AS state FROM c""")
-def gate_states(t: Tables):
-    """P18, P19, P22, P23, C5."""
-    q = F.col("l_quantity")
-    blocker, warn, partial = q > 49, q > 45, F.col("l_tax") > 0.07
-    c = t.lineitem.withColumn("conf", C.calibrate(1 - F.col("l_discount") / 10, partial, blocker, warn))
-    n = blocker.cast("int") + warn.cast("int")
-    return c.select("l_orderkey", "l_linenumber", "l_partkey", "conf", C.gate(F.col("conf"), blocker, partial, F.col("l_returnflag") == "R", n, F.lit(False)).alias("state"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p.action, d.action) AS action FROM lineitem LEFT JOIN (VALUES ('A','F','gate'),('R','F','review'),('N','O','accept')) p(flag, st, action) ON flag = l_returnflag AND st = l_linestatus
- LEFT JOIN (VALUES ('A','review'),('R','review'),('N','gate')) d(flag, action) ON d.flag = l_returnflag""")
-def policy_lookup(t: Tables):
-    """Two fixed policy tables, the specific one first."""
-    p = F.broadcast(t.spark.createDataFrame([("A", "F", "gate"), ("R", "F", "review"), ("N", "O", "accept")], "l_returnflag string, l_linestatus string, a string"))
-    d = F.broadcast(t.spark.createDataFrame([("A", "review"), ("R", "review"), ("N", "gate")], "l_returnflag string, b string"))
-    return t.lineitem.join(p, ["l_returnflag", "l_linestatus"], "left").join(d, "l_returnflag", "left").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("a", "b").alias("action"))
-
-
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_dedup(t: Tables):
-    """F36, ST3, K5."""
+    """The first document of each content."""
     return t.documents.where("text is not null").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("""SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON left(a.p_name, 1) = left(b.p_name, 1) AND abs(length(a.p_name) - length(b.p_name)) <= 1 AND a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 2""")
-def blocked_fuzzy(t: Tables):
-    """Block keys as an equi join on first letter and length, then verify."""
-    p = t.part.select("p_name").distinct().select("p_name", F.substring("p_name", 1, 1).alias("f"), F.length("p_name").alias("n"))
-    a = p.select(F.col("p_name").alias("a"), "f", F.explode(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1)).alias("n"))
-    return a.join(p.withColumnRenamed("p_name", "b"), ["f", "n"]).where("a < b and levenshtein(a, b) <= 2").select("a", "b").distinct()
-
-
-@query()
-def ratcliff_pairs(t: Tables):
-    """M1, M2: Ratcliff-Obershelp on blocked pairs; no SQL form, parity with difflib is tested."""
-    p = t.part.select("p_name").distinct().withColumn("f", F.substring("p_name", 1, 1))
-    j = p.withColumnRenamed("p_name", "a").join(p.withColumnRenamed("p_name", "b"), "f").where("a < b")
-    return j.select("a", "b", F.round(S.ratio_udf("a", "b"), 6).alias("score")).where("score >= 0.6")
-
-
-@query()
-def jaro_winkler_pairs(t: Tables):
-    """M3, M4, J16, J18."""
-    s = t.supplier.select("s_name", (F.col("s_suppkey") / 10).cast("long").alias("block"))
-    j = s.withColumnRenamed("s_name", "a").join(s.withColumnRenamed("s_name", "b"), "block").where("a < b")
-    return j.select("a", "b", F.round(S.jaro_winkler_udf("a", "b"), 6).alias("score"))
-
-
 @query("""SELECT p_brand, rank_no, p_name, score, score >= max(score) OVER (PARTITION BY p_brand) - 0.03 AND count(*) FILTER (WHERE near) OVER (PARTITION BY p_brand) >= 2 AS collision FROM
  (SELECT *, score >= max(score) OVER (PARTITION BY p_brand) - 0.03 AS near FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name) AS rank_no FROM
  (SELECT p_brand, p_name, max(p_retailprice / 2000) AS score FROM part GROUP BY 1, 2))) WHERE rank_no <= 5""")
 def alias_candidates(t: Tables):
-    """Best of each concept, the first five, and those within .03 of the top."""
+    """The best of each name, the first five, and those within .03 of the top."""
     b = t.part.groupBy("p_brand", "p_name").agg(F.max(F.col("p_retailprice") / 2000).alias("score"))
     b = b.withColumn("rank_no", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_name")).cast("long")).where("rank_no <= 5")
     w = Window.partitionBy("p_brand")
@@ -129,7 +49,7 @@ def alias_candidates(t: Tables):
 @query("""SELECT doc_id, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind) AS rn, score - coalesce(lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, kind), 0) AS margin FROM
  (SELECT doc_id, kind, sum(weight)::BIGINT AS score FROM documents JOIN (VALUES ('license','legal',3),('terms','legal',2),('http','web',3),('@','web',2),('the ','prose',1),('und ','prose',1)) k(word, kind, weight) ON contains(lower(text), word) GROUP BY 1, 2)) WHERE rn = 1 AND margin >= 1""")
 def keyword_classifier(t: Tables):
-    """Weighted keywords (a fixed list), winner by margin."""
+    """Weighted keywords (a fixed list), winner by margin."""
     words = [("license", "legal", 3), ("terms", "legal", 2), ("http", "web", 3), ("@", "web", 2), ("the ", "prose", 1), ("und ", "prose", 1)]
     low = F.lower("text")
     hits = F.filter(F.array(*[F.when(low.contains(w), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("weight"))) for w, k, n in words]), lambda x: x.isNotNull())
@@ -147,45 +67,13 @@ def wilson_by_slice(t: Tables):
     return s.withColumn("lower_bound", F.round(C.wilson_lower(F.col("good"), F.col("n")), 6))
 
 
-@query("""SELECT label, val, count(*) AS n, sum(quality)::BIGINT AS n_right, sum(toxic)::BIGINT AS spurious FROM (SELECT 'overall' AS label, 'all' AS val, quality, toxic FROM documents JOIN labels USING (doc_id)
- UNION ALL SELECT 'lang', lang, quality, toxic FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'source', source, quality, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY 1, 2""")
-def scoreboard(t: Tables):
-    """One pass over documents, each counted overall and in its slices."""
-    j = t.documents.join(t.labels, "doc_id")
-    slices = F.array(F.struct(F.lit("overall").alias("label"), F.lit("all").alias("val")), F.struct(F.lit("lang").alias("label"), F.col("lang").alias("val")), F.struct(F.lit("source").alias("label"), F.col("source").alias("val")))
-    return j.select(F.explode(slices).alias("s"), "quality", "toxic").groupBy("s.label", "s.val").agg(F.count("*").alias("n"), F.sum("quality").alias("n_right"), F.sum("toxic").alias("spurious"))
-
-
 @query("""SELECT coalesce(lang, 'ALL') AS lang, count(*) AS n, round(sum(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS false_reject FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""")
 def rejection_rates(t: Tables):
-    """A21, A22."""
+    """Rates overall and by language."""
     j = t.documents.join(t.labels, "doc_id")
     return j.rollup("lang").agg(F.count("*").alias("n"), F.round(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)) / F.count("*"), 6).alias("false_reject")).select(F.coalesce("lang", F.lit("ALL")).alias("lang"), "n", "false_reject")
 
 
-@query("""SELECT role, sum(levenshtein(a, b))::BIGINT AS edits, sum(length(a))::BIGINT AS n_chars, round(sum(levenshtein(a, b)) / sum(length(a))::DOUBLE, 6) AS cer FROM (SELECT role, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) AS a, left(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 60) AS b FROM conversations) WHERE length(a) > 0 GROUP BY role""")
-def cer_wer(t: Tables):
-    """Edits over reference length, summed over the corpus."""
-    c = t.conversations.select("role", F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 60).alias("a"), F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 60).alias("b")).where("length(a) > 0")
-    e = F.sum(F.levenshtein("a", "b"))
-    return c.groupBy("role").agg(e.alias("edits"), F.sum(F.length("a")).alias("n_chars"), F.round(e / F.sum(F.length("a")), 6).alias("cer"))
-
-
-@query()
-def name_groups(t: Tables):
-    """Names of one key in greedy groups; order-dependent, tested on fixtures."""
-    names = t.customer.select("c_nationkey", F.concat(F.lit("n"), F.substring("c_name", 15, 4)).alias("name"))
-    return greedy_groups(names, "c_nationkey", "name", ["name"], 0.78, S.ratio)
-
-
-@query("""SELECT a.key AS key, CASE WHEN a.s = b.s THEN 'same' WHEN a.s > b.s THEN 'win' ELSE 'loss' END AS verdict FROM (SELECT p_brand AS key, round(avg(p_retailprice), 6) AS s FROM part WHERE p_size <= 25 GROUP BY 1) a JOIN (SELECT p_brand AS key, round(avg(p_retailprice), 6) AS s FROM part WHERE p_size > 25 GROUP BY 1) b ON a.key = b.key""")
-def contest(t: Tables):
-    """Champion and candidate compared slice by slice."""
-    a = t.part.where("p_size <= 25").groupBy(F.col("p_brand").alias("key")).agg(F.round(F.avg("p_retailprice"), 6).alias("s"))
-    b = t.part.where("p_size > 25").groupBy(F.col("p_brand").alias("key")).agg(F.round(F.avg("p_retailprice"), 6).alias("z"))
-    return a.join(b, "key").select("key", F.when(F.col("s") == F.col("z"), "same").when(F.col("s") > F.col("z"), "win").otherwise("loss").alias("verdict"))
-
-
 @query("""SELECT coalesce(a.p_name, b.p_name) AS p_name, CASE WHEN a.p_name IS NULL THEN 'added' WHEN b.p_name IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'same' END AS change FROM
  (SELECT p_name, max(p_size) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT p_name, max(p_size) AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) b ON a.p_name = b.p_name""")
 def inventory_diff(t: Tables):
@@ -195,37 +83,9 @@ def inventory_diff(t: Tables):
     return a.join(b, "p_name", "full_outer").select("p_name", F.when(F.col("s").isNull(), "added").when(F.col("z").isNull(), "removed").when(F.col("s") != F.col("z"), "changed").otherwise("same").alias("change"))
 
 
-@query("""SELECT e.event_id, coalesce(k.c_custkey, n.c_custkey) AS matched, CASE WHEN k.c_custkey IS NOT NULL THEN 'id' WHEN n.c_custkey IS NOT NULL THEN 'segment' ELSE 'new' END AS how FROM events e LEFT JOIN customer k ON k.c_custkey = e.user_id * 20
- LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY 1) n ON n.c_nationkey = e.user_id""")
-def cascading_match(t: Tables):
-    """Identity by the first key that hits."""
-    k = t.customer.select(F.col("c_custkey").alias("k"))
-    n = t.customer.where("c_mktsegment = 'HOUSEHOLD'").groupBy(F.col("c_nationkey").alias("nk")).agg(F.min("c_custkey").alias("n"))
-    j = t.events.join(k, F.col("k") == F.col("user_id") * 20, "left").join(n, F.col("nk") == F.col("user_id"), "left")
-    return j.select("event_id", F.coalesce("k", "n").alias("matched"), F.when(F.col("k").isNotNull(), "id").when(F.col("n").isNotNull(), "segment").otherwise("new").alias("how"))
-
-
-@query()
-def stream_stability(t: Tables):
-    """ST2, batch twin: versions (event types) of a file (user) seen twice in a row are ready."""
-    from quillmark.streaming.files import stable_files_batch
-
-    polls = t.events.select(F.col("user_id").cast("string").alias("file_id"), F.col("event_type").alias("etag"), F.col("event_id").alias("poll"))
-    return stable_files_batch(polls)
-
-
-@query()
-def stream_batching(t: Tables):
-    """ST4: three files or an hour."""
-    from quillmark.streaming.files import batches_of
-
-    e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("lane"))
-    return batches_of(e, 3, 3600).groupBy("lane", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
-
-
 @query("""SELECT event_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN value < 5 OR (event_id % 4) + 1 >= 3 THEN 'quarantine' ELSE 'error' END AS state, CAST(30 * pow(2, event_id % 4) AS BIGINT) AS wait_seconds FROM events""")
 def stream_retries(t: Tables):
-    """ST6, ST8, ST12, F33, P29."""
+    """ST6, F33: state after a try, and the wait before the next."""
     from quillmark.streaming.files import retry_state
 
     a = F.col("event_id") % 4
@@ -234,7 +94,7 @@ def stream_retries(t: Tables):
 
 @query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (WHERE event_type = 'error') AS failures, date_diff('second', max(ts), (SELECT max(ts) FROM events)) > 86400 AS stalled FROM events GROUP BY 1""")
 def listener_health(t: Tables):
-    """ST1, ST10, A6: last state, failures and stall against a given time."""
+    """ST10: last state, failures and stall against a given time."""
     end = t.events.agg(F.max("ts").alias("as_of"))
     g = t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("ts").alias("last"))
     secs = F.unix_seconds(F.col("as_of").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))
