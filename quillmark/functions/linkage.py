@@ -23,7 +23,7 @@ _LOOK = str.maketrans(LOOKALIKE, DIGITS)
 def over(f: Callable, kind: str):
     """A UDF of a function of texts or lists, in Arrow batches."""
 
-    if "," in kind:
+    if " " in kind:
 
         @pandas_udf(kind)
         def run(*columns: pd.Series) -> pd.DataFrame:
