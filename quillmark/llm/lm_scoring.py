@@ -1,12 +1,13 @@
 """Language-model scores: the marginal likelihood of a text over all its subword segmentations.
 
-The pieces are those of an existing vocabulary; their unigram probabilities come from the corpus: every distinct
-training word is cut once, weighted by its count.  No piece crosses white space, so a text's probability is the product
-of its words' and of one end; a word's is the sum over all segmentations, by the forward recursion in log space.  Each
-distinct word is therefore scored once, not once per place.
-
-Word counts are a table, never gathered on the driver.  The HEAD most frequent words (a fixed number) are broadcast;
-occurrences of all others meet the table in a join, so the words sent around are the rare ones only.
+The pieces are those of an existing vocabulary, which gives each a rank but no unigram probability (no unigram file is
+at hand); Zipf's law on the ranks is the start, and ROUNDS of expectation and maximisation over all segmentations of all
+training words, weighted by their counts, make the probabilities.  No piece crosses white space, so a text's probability
+is the product of its words' and of one end; a word's is the sum over all segmentations, by the forward recursion in log
+space.  Each distinct word is therefore scored once, not once per place.
+
+Word counts are a table, never gathered on the driver.  The most frequent words (at most HEAD, of at most HEAD_BYTES each)
+are broadcast; occurrences of all others meet the table in a join, so the words sent around are the rare ones only.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from quillmark.llm import kernels as K
 
 PIECES = "piece_bpe_32k.model"
-HEAD = 150_000
+HEAD, HEAD_BYTES = 150_000, 64
+ROUNDS = 1
+#: Words with a smaller probability are learned from in halves.
+LEAST = 1e-280
 GAP = "▁"
 
 
@@ -54,18 +58,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _count_pieces(path: str):
+def _expect_pieces(path: str, counts):
+    """How often each piece is expected over all segmentations of the words, with their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
-        total = np.zeros(model.get_piece_size(), np.int64)
+        lattice, total = _lattice(path, counts.value), [0.0] * len(counts.value)
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            c = batch.column(1).to_numpy()
-            ids = model.encode(words, num_threads=1)
-            flat = np.concatenate([np.array(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
-            total += np.bincount(flat, np.repeat(c, [len(x) for x in ids]), len(total)).astype(np.int64)
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lattice.expect(w.decode("utf-8", "replace"), c, total)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.array(total)[at])], ["piece", "c"])
 
     return run
 
@@ -73,10 +75,51 @@ def _count_pieces(path: str):
 class Lattice:
     """Marginal log10 probability of a word over all its segmentations into pieces."""
 
-    def __init__(self, pieces: dict[str, float], by_byte: list[float]):
+    def __init__(self, pieces: dict[str, float], by_byte: list[float], ids: dict[str, int] | None = None, byte_ids: list[int] | None = None):
         self.by_byte = by_byte
         #: Log probability of each piece; 0.0 for what only begins one.
         self.begun = {w[:k]: 0.0 for w in pieces for k in range(1, len(w))} | pieces
+        self.ids, self.byte_ids = ids or {w: i for i, w in enumerate(pieces)}, byte_ids or list(range(len(pieces), len(pieces) + 256))
+        self.linear = {w: (math.exp(p) if p else 0.0, self.ids.get(w, -1)) for w, p in self.begun.items()}
+
+    def expect(self, word: str, c: float, total: list[float]) -> None:
+        """Adds to total, for each piece, c times how often it is expected in a segmentation of the word."""
+        s, get = GAP + word, self.linear.get
+        n = len(s)
+        alpha, arcs = [0.0] * (n + 1), []
+        alpha[0] = 1.0
+        for i in range(n):
+            a = alpha[i]
+            known = False
+            for j in range(i + 1, n + 1):
+                hit = get(s[i:j])
+                if hit is None:
+                    break
+                p, piece = hit
+                if p:
+                    known |= j == i + 1
+                    alpha[j] += a * p
+                    arcs.append((i, j, p, piece))
+            if not known:
+                p = math.exp(sum(self.by_byte[x] for x in s[i].encode("utf-8", "replace")))
+                alpha[i + 1] += a * p
+                arcs.append((i, i + 1, p, -1))
+        if alpha[n] < LEAST:
+            # Too small for a number: the halves are learned from, so one place between pieces is given.
+            if len(word) > 1:
+                self.expect(word[: len(word) // 2], c, total)
+                self.expect(word[len(word) // 2 :], c, total)
+            return
+        beta = [0.0] * n + [c / alpha[n]]
+        for i, j, p, piece in reversed(arcs):
+            b = p * beta[j]
+            beta[i] += b
+            b *= alpha[i]
+            if piece >= 0:
+                total[piece] += b
+            else:
+                for x in s[i].encode("utf-8", "replace"):
+                    total[self.byte_ids[x]] += b
 
     def word(self, word: str) -> float:
         s, get, ln10 = GAP + word, self.begun.get, math.log(10)
@@ -105,15 +148,23 @@ class Lattice:
 
 def _lattice(path: str, counts: np.ndarray) -> Lattice:
     model = _model(path)
-    total = int(counts.sum()) + len(counts)
-    logs = np.log((counts + 1) / total)
-    pieces, by_byte = {}, [float(logs[0])] * 256
+    logs = np.log((counts + 1) / (counts.sum() + len(counts)))
+    pieces, ids, by_byte, byte_ids = {}, {}, [float(logs[0])] * 256, [0] * 256
     for i in range(len(counts)):
         if model.is_byte(i):
-            by_byte[int(model.id_to_piece(i)[3:5], 16)] = float(logs[i])
+            x = int(model.id_to_piece(i)[3:5], 16)
+            by_byte[x], byte_ids[x] = float(logs[i]), i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            pieces[model.id_to_piece(i)] = float(logs[i])
-    return Lattice(pieces, by_byte)
+            pieces[model.id_to_piece(i)], ids[model.id_to_piece(i)] = float(logs[i]), i
+    return Lattice(pieces, by_byte, ids, byte_ids)
+
+
+def _by_rank(path: str) -> np.ndarray:
+    """Counts by Zipf's law on the vocabulary's ranks; bytes come last."""
+    model = _model(path)
+    n = model.get_piece_size()
+    rank = np.array([n if model.is_byte(i) else max(0.0, -model.get_score(i)) for i in range(n)])
+    return 1e6 / (rank + 3.0)
 
 
 def _score_words(path: str, counts):
@@ -187,7 +238,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
 
     Returns a row per document: doc_id, held_out, n_tokens (words and one end), n_known (those seen in training),
     train_tokens, base_score (add-one unigram over words and the end, log10), score (log10 marginal probability over
-    all segmentations, the end included).  Null texts count as empty: one end.  Without training rows every word is
+    all segmentations, the end included; pieces of a very long word are learned from its halves).  Null texts count as empty: one end.  Without training rows every word is
     unseen and the vocabulary empty.  Rows with a null id are left out, those with one id are scored each; other
     columns are ignored.
     """
@@ -206,21 +257,31 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     n_docs = train.count()
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n + n_docs, total.v + (n_docs > 0)
-    of_pieces = words.mapInArrow(_count_pieces(pieces), "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).collect()
-    model = _model(pieces)
-    counts = np.zeros(model.get_piece_size(), np.int64)
-    for r in of_pieces:
-        counts[r.piece] = r.c
-    counts[model.eos_id()] = n_docs
+    counts = _by_rank(pieces)
+    for _ in range(ROUNDS):
+        found = words.mapInArrow(_expect_pieces(pieces, spark.sparkContext.broadcast(counts)), "piece long, c double").groupBy("piece").agg(F.sum("c").alias("c")).collect()
+        counts = np.zeros(len(counts))
+        for r in found:
+            counts[r.piece] = r.c
+    counts[_model(pieces).eos_id()] = n_docs
     sent = spark.sparkContext.broadcast(counts)
     scored = K.stored(words.mapInArrow(_score_words(pieces, sent), "word binary, c long, lp double"), "lm-scored")
 
     def base_of(c: int) -> float:
         return math.log10((c + 1) / (n + v + 1))
 
-    top = scored.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    # At most HEAD words from a count on, found by a histogram of at most a thousand rows: no task sends its own best.
+    level = F.floor(F.log2("c") * 16)
+    short = scored.where(F.length("word") <= HEAD_BYTES)
+    least, size = None, 0
+    for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        size += r.k
+        if size > HEAD:
+            break
+        least = r.level
+    top = short.where(level >= least).collect() if least is not None else []
     head = spark.sparkContext.broadcast({bytes(r.word): (base_of(r.c), r.lp) for r in top})
-    end = (n_docs, base_of(n_docs), math.log10((n_docs + 1) / (int(counts.sum()) + len(counts))))
+    end = (n_docs, base_of(n_docs), math.log10((n_docs + 1) / (float(counts.sum()) + len(counts))))
     made = K.stored(base.mapInArrow(_score_docs(head, base_of(0), end, int(n_docs > 0)), _DOC), "lm-docs")
     tail = made.where("word is not null").select("word", "doc_id", "times").join(scored, "word", "left")
     tail = tail.select("doc_id", "word", "times", F.coalesce("c", F.lit(0)).alias("c"), "lp").mapInArrow(_unseen(pieces, sent), "doc_id long, times int, c long, lp double")

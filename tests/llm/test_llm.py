@@ -367,6 +367,25 @@ def test_lattice_is_the_sum_over_segmentations():
     assert lattice.word("é") == pytest.approx((-1.0 - 18.0) / math.log(10))
 
 
+def test_expected_pieces_over_all_segmentations():
+    pieces = {"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -1.2, "▁a": -0.7, "ba": -3.0}
+    lattice = lm_scoring.Lattice(pieces, [-9.0] * 256)
+
+    def ways(s):
+        return [[]] if not s else [[w, *rest] for w in pieces if s.startswith(w) for rest in ways(s[len(w) :])]
+
+    for word in ("abab", "aab", "b", "bba"):
+        total = [0.0] * (len(pieces) + 256)
+        lattice.expect(word, 3, total)
+        weights = [(math.exp(sum(pieces[x] for x in w)), w) for w in ways("▁" + word)]
+        z = sum(p for p, _ in weights)
+        want = [3 * sum(p * w.count(x) for p, w in weights) / z for x in pieces]
+        assert total[: len(pieces)] == pytest.approx(want) and not any(total[len(pieces) :])
+    total = [0.0] * (len(pieces) + 256)
+    lattice.expect("é" * 200, 1, total)
+    assert sum(total[len(pieces) :]) == pytest.approx(400) and sum(total[: len(pieces)]) < 20
+
+
 def test_language_id(spark):
     r = random.Random(2)
     pools = {"aa": "abcde", "zz": "vwxyz", "mm": "klmno"}
