@@ -204,7 +204,7 @@ def evidence_boxes(t: Tables):
     return t.blocks.groupBy("page_id").agg(F.round(conf, 6).alias("conf"), F.round(0.5 * (0.8 + conf), 6).alias("fused"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
 
 
-@query("SELECT block_id, row_number() OVER (PARTITION BY page_id ORDER BY floor((y0 + y1) / 2.0 / (0.7 * h)), x0, block_id) AS line_no FROM (SELECT *, list_extract(list_sort(list(y1 - y0) OVER (PARTITION BY page_id)), CAST(floor(count(*) OVER (PARTITION BY page_id) / 2.0) AS BIGINT) + 1) AS h FROM {blocks})")
+@query("SELECT block_id, row_number() OVER (PARTITION BY page_id ORDER BY floor((y0 + y1) / 2.0::DOUBLE / (0.7::DOUBLE * h)), x0, block_id) AS line_no FROM (SELECT *, list_extract(list_sort(list(y1 - y0) OVER (PARTITION BY page_id)), CAST(floor(count(*) OVER (PARTITION BY page_id) / 2.0) AS BIGINT) + 1) AS h FROM {blocks})")
 def reading_order(t: Tables):
     """Bands of .7 of the upper median height, then from left to right."""
     page = Window.partitionBy("page_id")

@@ -1,4 +1,4 @@
-"""Sources and sinks (S5-S19, K10, K15-K18): folders, sidecars, keys, manifests; NDJSON and metrics text."""
+"""Sources and sinks (S5-S7, S12-S19, S21, S24, K6, K10, K16-K18): folders, sidecars, keys, manifests, code sets; NDJSON and metrics text."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmark.functions.text import ignore_reason, mime_of
+from quillmark.functions.text import ignore_reason, mime_of, words_only
 
 
 def folder(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -21,12 +21,37 @@ def with_sidecars(files: DataFrame, sidecars: DataFrame, stem: str = "stem") ->
     return files.join(sidecars, stem, "left")
 
 
+def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One JSON object a line, such as an answer key; unreadable lines in _corrupt_record if the schema has it."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
 def json_by_stem(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A folder of JSON documents keyed by file stem; unreadable ones in _corrupt_record."""
+    """A folder of JSON documents, one a file, keyed by the file's stem."""
     df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(path)
     return df.withColumn("stem", F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.[^.]*$", ""))
 
 
+def line_crops(spark: SparkSession, manifest: str, crops: str) -> DataFrame:
+    """Lines (file, truth) of a JSONL manifest with the bytes of their crops; lines without a crop are left out."""
+    lines = jsonl(spark, manifest, "file string, truth string").withColumn("name", F.element_at(F.split("file", "/"), -1))
+    files = folder(spark, crops).select("name", "content", "sha256")
+    return lines.join(files, "name").select("name", "truth", "sha256", "content")
+
+
+def code_set(spark: SparkSession, path: str, code: str, names: list[str], separator: str = "\t") -> DataFrame:
+    """An index of a code set (delimited text with a header, packed or not): each name, normalised, with its codes in order."""
+    raw = spark.read.option("header", "true").option("sep", separator).csv(path)
+    one = raw.select(F.trim(code).alias("code"), F.explode(F.array(*[F.col(c) for c in names])).alias("name")).withColumn("name", words_only(F.col("name")))
+    return one.where("name <> '' and code <> ''").groupBy("name").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def catalogue_tables(spark: SparkSession) -> DataFrame:
+    """Tables and views of the session's catalog with their columns, in order."""
+    rows = [(t.name, c.name, c.dataType, i) for t in spark.catalog.listTables() for i, c in enumerate(spark.catalog.listColumns(t.name))]
+    return spark.createDataFrame(rows, "table_name string, column_name string, type string, ordinal int").orderBy("table_name", "ordinal")
+
+
 def catalogue(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header, byte-order mark tolerated, values trimmed."""
     df = spark.read.option("header", "true").option("encoding", "UTF-8").schema(schema).csv(path)

@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from quillmark.plans import read_models, text_rules  # noqa: F401
+from quillmark.plans import evaluation, extraction, forms, governance, linkage, operations, read_models, text_rules  # noqa: F401
 from quillmark.plans.registry import PLANS, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -18,9 +18,8 @@ def test_same_rows_as_sql(spark, con, name):
     assert ok, why
 
 
-@pytest.mark.parametrize("name", sorted(set(PLANS) - set(SQL)))
-def test_runs(spark, name):
-    assert PLANS[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(PLANS) == set(SQL)
 
 
 def test_entry(spark):
