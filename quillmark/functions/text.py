@@ -57,7 +57,7 @@ def numeric_context(c: Column) -> Column:
         n = F.length(F.regexp_replace(core, "[^0-9]", ""))
         return F.when((n >= 1) & (2 * n >= F.length(core)), F.concat(F.translate(number, LOOKALIKE, DIGITS), F.regexp_extract(tok, rx, 2))).otherwise(tok)
 
-    return F.lower(F.array_join(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\S+)"), F.lit(1)), one), " "))
+    return fold(F.array_join(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\S+)"), F.lit(1)), one), " "))
 
 
 def numbers_repaired(c: Column) -> Column:

@@ -1,18 +1,21 @@
-from datetime import datetime
-
+import pytest
 from pyspark.sql import functions as F
 
-from quillmark.functions.similarity import ratio
+from quillmark.operators import layout, linking, queues
 from quillmark.operators import relational as R
-from quillmark.sources import files
-from quillmark.streaming import files as stream
+from quillmark.operators import rules
 
 
-def test_current_and_conflicts(spark):
+def test_current(spark):
     df = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", None)], "id string, s array<string>")
     assert {r.id for r in R.current(df, "id", "s").collect()} == {"b", "c"}
-    f = spark.createDataFrame([(1, "p", None, 1.0), (2, "p", None, 1.0), (3, "p", "x", 2.0), (4, "p", "x", 3.0)], "id int, p string, code string, v double")
-    assert {(r.left_key, r.right_key, r.kind) for r in R.conflicts(f, ["p"], "code", "id", "v").collect()} == {(1, 2, "duplicate"), (3, 4, "value_mismatch")}
+
+
+def test_conflicts_need_both_values(spark):
+    rows = [(1, "p", "t", "x", "2024-01-01", 5.0), (2, "p", "t", "x", "2024-01-01", None), (3, "p", "t", "x", "2024-01-01", 5.0), (4, "p", "t", "x", "2024-01-01", 6.0), (5, "p", "t", "x", "2024-01-01", 0.0), (6, "p", "t", None, "2024-01-01", 5.0), (7, "p", "t", "x", None, 5.0)]
+    f = spark.createDataFrame(rows, "fact_id int, patient_id string, fact_type string, code string, d string, value_num double").withColumn("effective_on", F.to_date("d"))
+    got = {(r.left_id, r.right_id, r.kind) for r in rules.conflicts(f).collect()}
+    assert got == {(1, 3, "duplicate"), (1, 4, "value_mismatch"), (1, 5, "value_mismatch"), (2, 5, "duplicate"), (3, 4, "value_mismatch"), (3, 5, "value_mismatch"), (4, 5, "value_mismatch")}
 
 
 def test_upsert(spark):
@@ -23,39 +26,55 @@ def test_upsert(spark):
     assert R.insert_new(old, new, ["k"]).count() == 3
 
 
-def test_components_and_groups(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")
-    assert {(r.node, r.label) for r in R.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
-    n = spark.createDataFrame([("p", 1, "Onkar Broadway"), ("p", 2, "Onkar Broadwey"), ("p", 3, "Asha Rao"), ("p", 4, None)], "phone string, i int, name string")
-    assert [(r.i, r.group_no) for r in sorted(R.greedy_groups(n, "phone", "name", ["i"], 0.78, ratio).collect(), key=lambda r: r.i)] == [(1, 0), (2, 0), (3, 1), (4, 2)]
-    p = spark.createDataFrame([("d", ["HbA1c", "FBS"], ["FPS", "HbA1c"])], "id string, a array<string>, b array<string>")
-    assert {(r.a, r.b) for r in R.greedy_pairs(p, "id", "a", "b", ratio).collect()} == {("HbA1c", "HbA1c"), ("FBS", "FPS")}
-
-
-def test_files(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
-    (tmp_path / "b.txt").write_bytes(b"x")
-    got = {r.name: (r.mime, r.ignored) for r in files.folder(spark, str(tmp_path)).collect()}
-    assert got == {"a.pdf": ("application/pdf", None), "b.txt": ("application/octet-stream", "type")}
-    m = spark.createDataFrame([("ok", 3)], "state string, n long")
-    assert files.metrics_text(m, "docs", ["state"], "n").first().line == 'docs{state="ok"} 3'
-
-
-def test_stability_stream_equals_batch(spark, tmp_path):
-    rows = [("f", "e1", 1), ("f", "e1", 2), ("f", "e2", 3), ("f", "e2", 4), ("f", "e2", 5), ("g", "x", 1)]
-    df = spark.createDataFrame(rows, "file_id string, etag string, poll long")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    want = {tuple(r) for r in stream.stable_files_batch(df).collect()}
-    assert want == {("f", "e1", 2), ("f", "e2", 4)}
-    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stream.stable_files(src).writeStream.format("memory").queryName("stable").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("stable").collect()} == want
-
-
-def test_batches_and_retries(spark):
-    t = datetime(2024, 1, 1)
-    df = spark.createDataFrame([("l", i, t.replace(minute=i)) for i in (0, 1, 2, 3, 30)], "lane string, event_id int, ts timestamp")
-    assert [r.batch_no for r in sorted(stream.batches_of(df, 3, 600).collect(), key=lambda r: r.event_id)] == [0, 0, 0, 1, 2]
-    s = spark.createDataFrame([(0, True, False), (2, True, False), (0, True, True), (0, False, False)], "a int, f boolean, d boolean")
-    assert [r.x for r in s.select(stream.retry_state(F.col("a"), F.col("f"), F.col("d")).alias("x")).collect()] == ["error", "quarantine", "quarantine", "done"]
+def test_components_of_any_length(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(909, 908), (None, 3)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(201), 908, 909, 1000]], "n long")
+    got = {r.node: r.label for r in R.components(e, nodes).collect()}
+    assert got == {i: 0 for i in range(201)} | {908: 908, 909: 908, 1000: 1000}
+    assert R.components(e.limit(0)).count() == 0
+
+
+def test_greedy(spark):
+    n = spark.createDataFrame([("p", "Ketan Vyas", 4), ("p", "Ketan Vyass", 1), ("p", "Asha Rao", 1), ("p", None, 2)], "phone string, name string, n long")
+    assert sorted((r.name, r.n) for r in linking.greedy_names(n, "phone", "name", "n").collect()) == [("", 2), ("Asha Rao", 1), ("Ketan Vyas", 5)]
+
+
+def test_edit_pairs_equal_brute_force(spark):
+    import random
+
+    from quillmark.functions.similarity import edit_distance
+
+    r = random.Random(3)
+    words = {"".join(r.choice("ab1") for _ in range(r.randint(0, 5))) for _ in range(120)}
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
+    want = {(a, b) for a in words for b in words if a < b and edit_distance(list(a), list(b)) <= 1}
+    assert {(x.a, x.b) for x in linking.edit_pairs(df, "w").collect()} == want
+
+
+def test_masters_are_bounded(spark, monkeypatch):
+    m = spark.createDataFrame([(1, "r", "n", [], [])], "id long, reg string, name string, aliases array<string>, words array<string>")
+    monkeypatch.setattr(linking, "MAX_MASTERS", 0)
+    with pytest.raises(ValueError):
+        linking.match_doctors(spark.createDataFrame([(1, "n", "", "")], "doc_id long, name string, reg string, header string"), m)
+
+
+def test_boxes(spark):
+    b = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 0, 0, 100, 12), (1, 3, 500, 500, 510, 510), (2, 4, 0, 0, 10, 10)], "p int, k int, x0 int, y0 int, x1 int, y1 int")
+    assert {tuple(r) for r in layout.inside(b, "p", "k", 0.5).collect()} == {(1, 2)}
+    assert {tuple(r) for r in layout.near(b, "p", "k").collect()} == {(1, 2), (2, 1)}
+    m = spark.createDataFrame([([1, 2, 3, 4], [2.0, 0.0, 1.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.0])], "b array<int>, m array<double>")
+    assert list(m.select(layout.mapped_box(F.col("b"), F.col("m")).alias("x")).first().x) == [3.0, 4.0, 7.0, 8.0]
+
+
+def test_queue_steps(spark):
+    q = spark.createDataFrame([(1, "pending", 2), (2, "pending", 0), (3, "done", 0)], "k long, state string, attempts long")
+    done = spark.createDataFrame([(1, False), (2, True)], "k long, ok boolean")
+    assert sorted(map(tuple, queues.settle(q, done, "k").collect())) == [(1, "dead", 3), (2, "done", 0), (3, "done", 0)]
+    ready = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:30")], "file_no long, s string").withColumn("first_seen", F.to_timestamp("s"))
+    at = lambda s: F.to_timestamp(F.lit(s))
+    assert queues.next_batch(ready, 3, 60, at("2024-01-01 00:00:59")).count() == 0
+    assert queues.next_batch(ready, 3, 60, at("2024-01-01 00:01:00")).count() == 2
+    assert queues.next_batch(ready, 3, 60, at("2024-01-01 00:00:01"), flush=True).count() == 2
+    assert queues.next_batch(ready, 1, 60, at("2024-01-01 00:00:01")).count() == 1
+    numbers = queues.numbered(spark.range(1000).repartition(7).withColumnRenamed("id", "k"), "k").collect()
+    assert sorted((r.k, r.number) for r in numbers) == [(i, i + 1) for i in range(1000)]
