@@ -154,7 +154,9 @@ CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative|
 LICENSE, UNDER = "licen[sc]e", "(?:licensed|released|distributed|available|published) under (?:the terms of )?(?:the |a )?"
 LATER = "(?: only| or later| or any later version|\\+)?"
 #: A text without any of these holds no signature: each is part of the wording or of the gate of every rule.
-ROOTS = ("licen", "gpl", "mpl", "epl", "eupl", "cddl", "bsd", "wtfpl", "apache", "spdx", "creativ", " cc ", " cc0", "public domain", "copyright", "permission", "redistribut", "software", "rights reserved", "propriet", "commons clause", "openrail", " asl", " cpl", " bsl", "artistic", " ofl", " odbl", " odc by", " psf", " afl", " osl", "cecill", " ecl", " zpl", " ms pl", " ms rl", "sspl", "busl", "elv2", " upl", " ogl", "mulanpsl", "gfdl", "mit no", "intent of this document", "what the fuck", "no part of this", "unauthorized", "mozilla", "evil", "this notice", "eclipse", "accompanying", "this deed", "extent possible")
+ROOTS = ("licen", "pl ", "plv", "pl1", "pl2", "pl3", "sl ", "fl ", " ogl ", " ecl ", "bsd", "apache", "spdx", "creativ", " cc ", " cc0", "public domain", "copyright", "permission", "redistribut", "software", "rights reserved", "propriet", "commons clause", "openrail", "artistic", "odbl", " odc by ", " psf ", "cecill", "elv2", "gfdl", "cddl", "mit no", " ms rl ", "intent of this document", "what the fuck", "no part of this", "unauthorized", "mozilla", "not evil", "this notice", "eclipse", "accompanying", "this deed", "extent possible")
+#: Short names that a version may be glued to; others need a space, as they begin common words.
+GLUED = ("gpl", "lgpl", "agpl", "mpl", "epl", "eupl", "cddl", "odbl", "sspl", "gfdl", "wtfpl", "cecill")
 
 
 def _words(name: str) -> str:
@@ -170,17 +172,18 @@ def signatures() -> list[tuple[str, str, str, int]]:
         label = label.removesuffix(".0") if label.split("-")[0] in ("gpl", "lgpl", "agpl", "apache", "mpl", "epl") and not label.startswith(("apache-1", "epl-1", "mpl-1")) else label
         out.append((label, f"spdx license identifier {_words(name)}", "spdx", 1))
     for stem, short, long, versions, gate in FAMILIES:
+        key = short if short in GLUED else f"{short} "
         for v in versions:
             label = f"{stem}-{v.replace(' ', '.')}"
             number = v if " " in v else f"{v}(?: 0)?"
-            out.append((label, f"(?:gnu )?{short}(?: {LICENSE})?(?: version | v ?| ?v| )?{number}{LATER}", short, 4))
-            out.append((label, f"{long} {LICENSE}(?: {short})?(?: version| v)? ?{number}{LATER}", gate, 4))
+            near = "(?: version | v ?| ?v| )?" if short in GLUED else "(?: version| v)? "
+            out.append((label, f"(?:{UNDER})?(?:gnu )?{short}(?: {LICENSE})?{near}{number}{LATER}", key, 4))
+            out.append((label, f"(?:{UNDER})?{long} {LICENSE}(?: {short})?(?: version| v)? ?{number}{LATER}", gate, 4))
             out.append((label, f"{long}(?: version| v)? ?{number} {LICENSE}", gate, 4))
             out.append((label, f"version {number} of the {long} {LICENSE}", gate, 4))
-            out.append((label, f"{UNDER}(?:{long} {LICENSE}|{short})(?: version| v)? ?{number}{LATER}", "under", 3))
-        out.append((stem, f"{long} {LICENSE}", gate, 6))
-        out.append((stem, f"(?:gnu )?{short} {LICENSE}", short, 6))
-        out.append((stem, f"{UNDER}{short}", "under", 6))
+        out.append((stem, f"(?:{UNDER})?{long} {LICENSE}", gate, 6))
+        out.append((stem, f"(?:{UNDER})?(?:gnu )?{short} {LICENSE}", key, 6))
+        out.append((stem, f"{UNDER}{short}", key, 6))
     for part in CC_PARTS:
         label, long = "cc-" + part.replace(" ", "-"), " ".join(CC_NAMES[x] for x in part.split())
         for v in CC_VERSIONS:
