@@ -45,7 +45,7 @@ class _Firsts:
 
     def __init__(self, bits: int = 17):
         self.shift = K.U(64 - bits)
-        self.key, self.doc, self.place = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.key, self.doc, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.iinfo(np.int64).max), np.zeros(1 << bits, np.int64)
 
     def later(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), bool)
