@@ -26,6 +26,15 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn_ = 1").drop("rn_")
 
 
+def first_wins(parts: list[DataFrame], key: str) -> DataFrame:
+    """U4: the union of parts, of each key the row of the first part that has it (of several there, the least)."""
+    ranked = [p.select(key, F.struct(F.lit(i).alias("i_"), *[c for c in p.columns if c != key]).alias("r_")) for i, p in enumerate(parts)]
+    out = ranked[0]
+    for p in ranked[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(key).agg(F.min("r_").alias("r_")).select(key, *[F.col(f"r_.{c}").alias(c) for c in parts[0].columns if c != key])
+
+
 def current(df: DataFrame, key: str, supersedes: str) -> DataFrame:
     """Rows that no other row lists as superseded."""
     gone = df.select(F.explode(supersedes).alias("gone_")).distinct()

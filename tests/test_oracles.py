@@ -1,7 +1,7 @@
 import oracle
 import pytest
 
-from quillmark.plans import evaluation, evidence, extraction, forms, governance, linkage, operations, read_models, text_rules  # noqa: F401
+from quillmark.plans import evaluation, evidence, extraction, forms, governance, linkage, operations, read_models, records_io, text_rules  # noqa: F401
 from quillmark.plans.registry import PLANS, SQL
 
 SF = "/root/testdata/sf0.001"
