@@ -13,7 +13,6 @@ from quillmark.operators import rules as R
 from quillmark.plans import linkage  # noqa: F401  (its fixtures)
 from quillmark.plans.registry import Tables, cases, fixture, query, values
 
-S = F.col("s")
 
 
 def listed(c: str):
@@ -28,7 +27,7 @@ cases("term_binding", "C2, J15, F25: facts bound to terms as written or alike; u
 
 
 def _interpreted(d):
-    r = d.select(F.col("id").alias("reading_id"), E.reading_text(S, F.col("v")).alias("reading"), F.lit("drug").alias("domain"), F.lit(7).cast("bigint").alias("doctor"))
+    r = d.select(F.col("id").alias("reading_id"), E.reading_text(F.col("s"), F.col("v")).alias("reading"), F.lit("drug").alias("domain"), F.lit(7).cast("bigint").alias("doctor"))
     c = K.alias_candidates(r, Tables(d.sparkSession, "").aliases)
     status = K.plausibility(F.when(F.col("concept").startswith("telma"), F.array(F.lit("cardiac"))), F.array(F.lit("spine")))
     best = K.rerank(c.withColumn("status", status), "reading_id", "status", "score", "concept").where("place = 1")
@@ -118,19 +117,19 @@ def view_support(t: Tables):
 
 cases("licence_states", "P27, Z47: software licences, and why a component blocks a release.", "s STRING, decision STRING", "state STRING, problem STRING", [
     ("MIT", None, "allowed", None), ("GPL-3.0", None, "banned", "banned"), ("LGPL v2.1", "approved", "review", None), ("MIT or GPL-3.0", "approved", "banned", None), ("MIT OR MPL 2.0", None, "allowed", None), ("Apache-2.0 AND MPL-2.0", None, "review", "needs a decision"), ("weird", "rejected", "unknown", "rejected"), ("", None, "unknown", "needs a decision"), (None, "proposed", "unknown", None), ("BSD, Apache", None, "allowed", None),
-], lambda d: d.select("id", E.licence_state(S).alias("state"), E.licence_problem(E.licence_state(S), F.col("decision")).alias("problem")))
+], lambda d: d.select("id", E.licence_state(F.col("s")).alias("state"), E.licence_problem(E.licence_state(F.col("s")), F.col("decision")).alias("problem")))
 
 cases("upload_checks", "P28, F18: what is wrong with an upload; safe file names.", "n BIGINT, size BIGINT, mime STRING, token STRING, phone STRING, name STRING, s STRING", "errors STRING, shown STRING", [
     (1, 100, "image/png", "A-12", "+91 98111 00022", "Mita Bose", "a/b/scan.png", "", "scan.png"), (0, 0, "image/png", "", "98111", "M", "", "no file,token,phone,name", "document"), (11, 100, "text/html", "bad token", "09811100022", "O'Neil D.", "x.pdf", "too many files,file type,token", "x.pdf"),
     (1, 99000000, "application/pdf", "T1", "919811100022", "1 Bose", "C:/y.pdf", "file too large,name", "y.pdf"), (1, 5, "image/jpeg", None, None, None, None, "token,phone,name", "document"),
-], lambda d: d.select("id", F.array_join(E.upload_errors(F.when(F.col("n") == 0, F.array().cast("array<struct<size:bigint,mime:string>>")).otherwise(F.array_repeat(F.struct("size", "mime"), F.col("n").cast("int"))), F.col("token"), F.col("phone"), F.col("name")), ",").alias("errors"), E.safe_file_name(S).alias("shown")))
+], lambda d: d.select("id", F.array_join(E.upload_errors(F.when(F.col("n") == 0, F.array().cast("array<struct<size:bigint,mime:string>>")).otherwise(F.array_repeat(F.struct("size", "mime"), F.col("n").cast("int"))), F.col("token"), F.col("phone"), F.col("name")), ",").alias("errors"), E.safe_file_name(F.col("s")).alias("shown")))
 
 SIGNALS = [("lab_report", 4, "reference range"), ("lab_report", 3, "specimen"), ("prescription", 4, r"\brx\b"), ("prescription", 3, r"\btab\b"), ("operative_note", 5, "surgeon")]
 PAD = " and more plain words of a page that was read well" * 4
 cases("page_types", "A31, Z33: kinds of pages by weighted wordings with a lead; misread notes.", "s STRING, k STRING", "kind STRING, confidence DOUBLE, fixed STRING", [
     ("Specimen serum reference range" + PAD, "lab_report", "lab_report", 0.92, "lab_report"), ("Rx tab one" + PAD, "operative_note", "prescription", 0.92, "prescription"), ("Rx" + PAD, "x", None, None, "x"), ("rx tab specimen reference range" + PAD, "x", None, None, "x"), ("Specimen reference range", "x", None, None, "x"),
     ("surgeon rx tab" + PAD, "operative_note", None, None, "operative_note"), ("Specimen reference range " + "#%! " * 120, "x", None, None, "x"),
-], lambda d: d.select("id", E.classified(S, SIGNALS).alias("c"), E.overridden_type(F.col("k"), S, "surgeon", r"\brx\b").alias("fixed")).select("id", "c.kind", "c.confidence", "fixed"))
+], lambda d: d.select("id", E.classified(F.col("s"), SIGNALS).alias("c"), E.overridden_type(F.col("k"), F.col("s"), "surgeon", r"\brx\b").alias("fixed")).select("id", "c.kind", "c.confidence", "fixed"))
 
 
 @query("""SELECT fact_id, CASE fact_id % 9 WHEN 0 THEN 'clinician_confirmed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'corrected' ELSE review_state END AS review_state, CASE WHEN fact_id % 9 = 2 AND fact_id % 2 = 0 THEN 1.5 ELSE value_num END AS value_num FROM {facts}""")
@@ -231,7 +230,7 @@ def pending_lookup(t: Tables):
 
 cases("accepted_choices", "Z32, Z42: a choice counts only if it was offered and is alike; a confirmed name keeps what was read.", "s STRING, offered STRING, reading STRING", "accepted BOOLEAN, kept STRING", [
     ("Telma", "Telma|Telmikind", "Telmo", True, "Telmo"), ("Pan", "Telma", "Pan", False, "Pan"), ("Telma", "Telma", "xyz", False, "xyz"), ("Telma", "Telma", None, False, "Telma"),
-], lambda d: d.select("id", (F.array_contains(listed("offered"), S) & (L.over(L.alike, "double")("s", "reading") >= 0.5)).alias("accepted"), F.coalesce("reading", "s").alias("kept")))
+], lambda d: d.select("id", (F.array_contains(listed("offered"), F.col("s")) & (L.over(L.alike, "double")("s", "reading") >= 0.5)).alias("accepted"), F.coalesce("reading", "s").alias("kept")))
 
 
 @query("SELECT sha256(CASE WHEN doc_id % 2 = 0 THEN 'tenant-a:' || text ELSE text END) AS content_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -242,4 +241,4 @@ def scoped_hashes(t: Tables):
     return t.documents.where("text is not null").groupBy(h.alias("content_hash")).agg(F.count("*").alias("n"))
 
 
-cases("number_repairs", "F10, F38, F39: numbers read alike, and labels of evidence as ids.", "s STRING, labels STRING", "nums STRING, ids STRING", [("Telma 4O", "b1|b9", "40", "block-1"), ("SOS", "", "", ""), ("l0O", "b2|b1", "0", "block-2|block-1")], lambda d: d.select("id", F.array_join(X.numbers_repaired(S), ",").alias("nums"), F.array_join(F.array_compact(F.transform(listed("labels"), lambda x: F.element_at(F.create_map(F.lit("b1"), F.lit("block-1"), F.lit("b2"), F.lit("block-2")), x))), "|").alias("ids")))
+cases("number_repairs", "F10, F38, F39: numbers read alike, and labels of evidence as ids.", "s STRING, labels STRING", "nums STRING, ids STRING", [("Telma 4O", "b1|b9", "40", "block-1"), ("SOS", "", "", ""), ("l0O", "b2|b1", "0", "block-2|block-1")], lambda d: d.select("id", F.array_join(X.numbers_repaired(F.col("s")), ",").alias("nums"), F.array_join(F.array_compact(F.transform(listed("labels"), lambda x: F.element_at(F.create_map(F.lit("b1"), F.lit("block-1"), F.lit("b2"), F.lit("block-2")), x))), "|").alias("ids")))

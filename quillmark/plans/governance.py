@@ -11,7 +11,7 @@ from quillmark.plans.registry import FIXTURES, Tables, fixture, query, values
 
 values("range_table", "fact_type STRING, code STRING, low DOUBLE, high DOUBLE, want STRING", R.RANGES)
 values("ceiling_table", "code STRING, ceiling DOUBLE", R.CEILINGS)
-AS_OF = F.to_date(F.lit("2030-01-01"))
+AS_OF = "2030-01-01"
 
 #: Every rule in SQL, one row for each finding.
 fixture("wanted_findings", """SELECT fact_id, 'info' AS severity, 'unit-normalized' AS code FROM {facts} f JOIN {range_table} r USING (fact_type, code) WHERE code = '8310-5' AND value_num > 45
@@ -44,7 +44,7 @@ fixture("wanted_states", """SELECT fact_id, document_id, conf, n_findings, CASE
 @query("SELECT fact_id, severity, code FROM {wanted_findings}")
 def fact_findings(t: Tables):
     """Every finding of every fact."""
-    return R.findings(t.facts, AS_OF).select("fact_id", F.explode("findings").alias("f")).select("fact_id", "f.severity", "f.code")
+    return R.findings(t.facts, F.to_date(F.lit(AS_OF))).select("fact_id", F.explode("findings").alias("f")).select("fact_id", "f.severity", "f.code")
 
 
 @query("SELECT fact_id, action, CAST(min_conf AS DOUBLE) AS min_conf, scope FROM {wanted_policy}")
@@ -63,14 +63,14 @@ def policy_overlay(t: Tables):
 @query("SELECT fact_id, CAST(conf AS DOUBLE) AS conf, n_findings, state FROM {wanted_states}")
 def fact_gate(t: Tables):
     """Findings, policy, confidence and gate of each fact."""
-    return R.validate(t.facts, AS_OF).select("fact_id", "conf", F.size("findings").cast("long").alias("n_findings"), "state")
+    return R.validate(t.facts, F.to_date(F.lit(AS_OF))).select("fact_id", "conf", F.size("findings").cast("long").alias("n_findings"), "state")
 
 
 @query("""SELECT document_id, count(DISTINCT w.fact_id) AS n_held, CASE WHEN count(*) FILTER (WHERE f.code LIKE 'med-%') > 0 THEN 'dose_check' WHEN count(*) FILTER (WHERE f.code IN ('value-out-of-range', 'date-in-future', 'date-implausible')) > 0 THEN 'low_confidence'
  WHEN count(*) FILTER (WHERE f.code = 'unmapped-concept') > 0 THEN 'unmapped_terminology' ELSE 'low_confidence' END AS kind FROM {wanted_states} w LEFT JOIN {wanted_findings} f ON f.fact_id = w.fact_id WHERE state = 'in_review' GROUP BY 1""")
 def review_tasks(t: Tables):
     """One task a document with held facts, its kind by the gravest finding."""
-    return R.review_tasks(R.validate(t.facts, AS_OF)).select("document_id", "n_held", "kind")
+    return R.review_tasks(R.validate(t.facts, F.to_date(F.lit(AS_OF)))).select("document_id", "n_held", "kind")
 
 
 @query("""SELECT fact_id, coalesce(list_extract(['no_reading', 'disagree', 'single_engine', 'page_level', 'agree', 'printed', 'legacy'], min(list_position(['no_reading', 'disagree', 'single_engine', 'page_level', 'agree', 'printed', 'legacy'], state))), 'legacy') AS evidence_state FROM {fact_lines} GROUP BY 1""")

@@ -11,7 +11,6 @@ from quillmark.operators import linking as K
 from quillmark.plans import records  # noqa: F401
 from quillmark.plans.registry import Tables, cases, query, values
 
-S = F.col("s")
 SURNAMES = ["Sarkar", "Sansar", "Sankar", "Sen", "Saha", "Ghosh"]
 
 
