@@ -180,7 +180,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 #: Paths of the tables written so far, oldest first.
 _written: list[str] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written: its shuffle files go, and Arrow batches of long texts are small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -189,12 +190,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files that led to it go as soon as it is written: nothing reads them again."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
