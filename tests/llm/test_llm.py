@@ -114,6 +114,18 @@ def test_ngram_join(docs, rows):
     assert got == brute_join([r[:2] for r in rows])
 
 
+def test_ngram_join_of_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    r = random.Random(9)
+    line = "one very common line here"
+    texts = [f"{line} " + " ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 1, 1, 2, 3]))) for _ in range(90)]
+    texts += [" ".join([*t.split()[:-1], "z"]) for t in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_join(df).collect()}
+    assert got == brute_join(list(enumerate(texts)))
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(5, 5), (None, 3)], "a long, b long")
     assert {tuple(r) for r in components(e).collect()} == {(i, 0) for i in range(41)}
