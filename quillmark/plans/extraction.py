@@ -108,11 +108,12 @@ def bundle_lint(t: Tables):
     return lost.join(people.withColumnRenamed("full_url", "ref"), ["document_id", "ref"]).select("document_id", "patient_id")
 
 
-@query("""SELECT s.s_suppkey AS target, o.o_orderkey AS document FROM (SELECT * FROM supplier WHERE s_suppkey % 5 = 0) s, (SELECT * FROM orders WHERE o_orderkey % 50 = 0) o WHERE NOT (s.s_suppkey % 2 = 0 AND o.o_orderkey % 100 = 0)""")
+@query("""SELECT s.s_suppkey AS target, o.o_orderkey AS document FROM (SELECT * FROM supplier WHERE s_nationkey = 3) s, orders o WHERE NOT (s.s_suppkey % 2 = 0 AND o.o_orderstatus = 'F')""")
 def dispatch_plan(t: Tables):
-    """Targets times documents less what was sent with the same content (an anti join on its hash); few targets, so they are broadcast."""
-    targets, docs = t.supplier.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("target")), t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("document"))
+    """Enabled targets (those of one nation) times documents, less what was sent with the same content (an anti join on its hash); the
+    targets are few, so they are broadcast."""
+    targets, docs = t.supplier.where("s_nationkey = 3").select(F.col("s_suppkey").alias("target")), t.orders.select(F.col("o_orderkey").alias("document"), "o_orderstatus")
     key = F.sha2(F.concat_ws(":", "target", "document"), 256).alias("key")
-    todo = F.broadcast(targets).crossJoin(docs).select("target", "document", key)  # the mappings that are active
-    sent = F.broadcast(targets.where("target % 2 = 0")).crossJoin(docs.where("document % 100 = 0")).select(key)
+    todo = F.broadcast(targets).crossJoin(docs).select("target", "document", key)
+    sent = F.broadcast(targets.where("target % 2 = 0")).crossJoin(docs.where("o_orderstatus = 'F'")).select(key)
     return todo.join(sent, "key", "left_anti").select("target", "document")

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,8 +114,11 @@ def test_batch_stream(spark, tmp_path):
     spark.createDataFrame([("l", i) for i in range(7)], "lane string, file_no long").coalesce(1).write.parquet(str(tmp_path / "in"))
     try:
         src = spark.readStream.schema("lane string, file_no long").parquet(str(tmp_path / "in"))
-        q = stream.batch_stream(src, 3, 3600).writeStream.format("memory").queryName("batched").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = stream.batch_stream(src, 3, 3600).writeStream.format("memory").queryName("batched").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+        end = time.time() + 60
+        while time.time() < end and spark.table("batched").count() < 6:
+            time.sleep(0.5)
+        q.stop()
         assert sorted(r.file_no for r in spark.table("batched").collect()) == [0, 1, 2, 3, 4, 5]  # the seventh waits
     finally:
         spark.conf.set(key, before)
