@@ -7,6 +7,7 @@ over characters.  Memory is bounded by SLICE bytes of text (or by one document,
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import uuid
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 U = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -91,14 +92,28 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
+def _trimmer():
+    """Gives memory that is free back to the system; nothing where the C library can't."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of runs of rows with about SLICE bytes."""
+    """(first row, row after the last, bytes, offsets) of runs of rows with about SLICE bytes.
+
+    After a batch its worker's free memory goes back, as workers live on and many share a machine."""
     data, offs = buffers(column)
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE, side="right")) - 1)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    _trim(0)
 
 
 def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,6 +219,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold 8 MB at most from now on, unless it says otherwise itself: texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, _WRITING[key])
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of stored() that nothing will read again."""
     for t in tables:

@@ -46,8 +46,8 @@ def encode(text: str | None) -> np.ndarray | None:
     s = s[np.append(True, (s[1:] > 0) | (s[:-1] > 0))]  # a run of other characters is one boundary
     grams, counts = np.unique(s[:-2] << 24 | s[1:-1] << 12 | s[2:], return_counts=True)
     out = np.zeros(DIM, np.float32)
-    for k in range(0, len(grams), 4096):
-        g, c = grams[k : k + 4096], counts[k : k + 4096]
+    for k in range(0, len(grams), 1024):
+        g, c = grams[k : k + 1024], counts[k : k + 1024]
         bound = turned[0][g >> 24] * turned[1][g >> 12 & 4095] * turned[2][g & 4095]
         out += c.astype(np.float32) @ bound.astype(np.float32)
     size = float(np.sqrt(out.astype(np.float64) @ out))

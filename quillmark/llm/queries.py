@@ -18,6 +18,7 @@ TOKEN_LIMIT = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    K.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
