@@ -3,7 +3,9 @@ and the time is an argument; a single writer applies the result, so no row locks
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,3 +88,16 @@ def next_batch(ready: DataFrame, size: int, wait_seconds: int, as_of: Column, fl
     all_ = Window.partitionBy(F.lit(1))  # at most `size` rows
     n, waited = F.count("*").over(all_), F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.min(since).over(all_).cast("timestamp"))
     return own.withColumns({"n_": n, "waited_": waited}).where((F.col("n_") >= size) | F.lit(flush) | (F.col("waited_") >= wait_seconds)).drop("n_", "waited_")
+
+
+def run_chain(spark: SparkSession, path: str, stages: list[tuple[str, Callable[[SparkSession, DataFrame | None], DataFrame]]]) -> DataFrame:
+    """ST14: stages one after another, each written under path and read again by the next; one that was written to its end is
+    not run again, so a chain that stopped goes on where it was."""
+    jvm, rows = spark.sparkContext._jvm, None
+    for name, stage in stages:
+        own = f"{path.rstrip('/')}/{name}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            stage(spark, rows).write.mode("overwrite").parquet(own)
+        rows = spark.read.parquet(own)
+    return rows

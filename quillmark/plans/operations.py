@@ -84,11 +84,11 @@ def late_arrivals(t: Tables):
     return Q.arrivals(d, known).select("arrival", "action")
 
 
-@query("SELECT o_orderkey, 'CFP-2030-' || lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS number FROM orders WHERE o_orderstatus = 'O'")
+@query("SELECT o_orderkey, 'P-2030-' || lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS number FROM orders WHERE o_orderstatus = 'O'")
 def numbered_ids(t: Tables):
     """Numbers in the order of a key, the same on every run."""
     n = Q.numbered(t.orders.where("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey")
-    return n.select("o_orderkey", F.concat(F.lit("CFP-2030-"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("number"))
+    return n.select("o_orderkey", F.concat(F.lit("P-2030-"), F.lpad(F.col("number").cast("string"), 6, "0")).alias("number"))
 
 
 @query("SELECT task_id FROM {tasks} WHERE state = 'pending' ORDER BY made_on, task_id LIMIT 3")

@@ -135,3 +135,19 @@ def test_watch_and_outbox(spark, tmp_path):
     src = spark.readStream.schema("document_id long, seq long, body string").parquet(str(tmp_path / "out"))
     stream.outbox(src, lambda b: b.withColumn("ok", F.lit(True)), str(tmp_path / "sent"), str(tmp_path / "c2")).awaitTermination(120)
     assert sorted((r.document_id, r.body, r.ok) for r in spark.read.parquet(str(tmp_path / "sent")).collect()) == [(1, "b", True), (2, "c", True)]
+
+
+def test_chain_goes_on_where_it_stopped(spark, tmp_path):
+    from quillmark.operators.queues import run_chain
+
+    ran = []
+
+    def stage(name, f):
+        return name, lambda s, rows: (ran.append(name), f(s, rows))[1]
+
+    first, second = stage("one", lambda s, _: s.range(5)), stage("two", lambda s, rows: rows.where("id > 2"))
+    broken = stage("two", lambda s, rows: rows.where("no_such_column > 2"))
+    with pytest.raises(Exception, match="no_such_column"):
+        run_chain(spark, str(tmp_path), [first, broken])
+    assert run_chain(spark, str(tmp_path), [first, second]).count() == 2 and ran == ["one", "two", "two"]
+    assert connectors.READERS.resolve("stub")(b"x") == connectors.READERS.resolve("stub")(b"x") != connectors.READERS.resolve("stub")(b"y")
