@@ -49,18 +49,16 @@ def facts_of(docs: DataFrame, doc: str = "document_id", kind: str = "doc_type",
     filed = L.over(O.file_entries, "tests array<string>, medicines array<string>, advice array<string>")(texts("$.investigations"), texts("$.advice"), F.concat(texts("$.medications"), texts("$.medications_on_discharge")))
     own = p.withColumns({"filed_": filed, "vitals_": L.over(O.vital_values, "array<struct<name:string,value:double,unit:string>>")(vitals)})
     orders = F.col("kind_").isin("prescription", "opd_note")
-    when = lambda c, arr: F.when(c, arr)
     date = lambda *paths: C.parse_date(F.coalesce(*[F.try_variant_get(v, x, "string") for x in paths])).day
-    strength = lambda x: C.strength(x)
     lists = [
-        when(F.col("kind_").isin("prescription", "opd_note", "discharge", "radiology"), _each(v, "$.diagnoses", lambda x: _fact("condition", text(x), day=F.when(F.col("kind_") == "discharge", date("$.admission_date")).when(F.col("kind_") == "radiology", date("$.study_date"))))),
-        when(orders | (F.col("kind_") == "discharge"), F.transform("filed_.medicines", lambda x: _fact("medication", strength(x).getField("name"), strength(x).value, strength(x).unit))),
-        when(orders, F.transform("filed_.tests", lambda x: _fact("investigation_order", x, note=x))), when(orders, F.transform("filed_.advice", lambda x: _fact("advice", x, note=x))),
-        when(orders | (F.col("kind_") == "vitals"), F.transform("vitals_", lambda x: _fact("vital_sign", F.replace(x["name"], F.lit("_"), F.lit(" ")), x.value, x.unit))),
-        when(F.col("kind_") == "vitals", F.concat(_each(v, "$.symptoms", lambda x: _fact("symptom", text(x))), _each(v, "$.allergies", lambda x: _fact("allergy", text(x, "substance_text", "text", "name"), note=F.try_variant_get(x, "$.reaction_text", "string"))))),
-        when(F.col("kind_") == "lab_report", _each(v, "$.results", lambda x: _fact("lab_result", text(x, "analyte_text", "text"), C.quantity(F.to_json(F.try_variant_get(x, "$.value", "variant"))).value, F.coalesce(C.quantity(F.to_json(F.try_variant_get(x, "$.value", "variant"))).unit, F.try_variant_get(x, "$.unit", "string")), F.try_variant_get(x, "$.value_text", "string"), date("$.reported_at", "$.collected_at")))),
-        when(F.col("kind_") == "discharge", _each(v, "$.procedures", lambda x: _fact("procedure", text(x, "name", "text"), note=F.try_variant_get(x, "$.findings", "string"), day=C.parse_date(F.try_variant_get(x, "$.date", "string")).day))),
-        when(F.col("kind_") == "radiology", F.concat(F.array(_fact("diagnostic_report", F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("study_name", "procedure_name", "modality")], F.lit("Imaging study")), note=F.nullif(F.concat_ws(" | ", F.try_variant_get(v, "$.impression", "string"), F.try_variant_get(v, "$.findings", "string")), F.lit("")), day=date("$.study_date"))), _each(v, "$.findings_list", lambda x: _fact("finding", text(x), day=date("$.study_date"))))),
+        F.when(F.col("kind_").isin("prescription", "opd_note", "discharge", "radiology"), _each(v, "$.diagnoses", lambda x: _fact("condition", text(x), day=F.when(F.col("kind_") == "discharge", date("$.admission_date")).when(F.col("kind_") == "radiology", date("$.study_date"))))),
+        F.when(orders | (F.col("kind_") == "discharge"), F.transform("filed_.medicines", lambda x: _fact("medication", C.strength(x).getField("name"), C.strength(x).value, C.strength(x).unit))),
+        F.when(orders, F.transform("filed_.tests", lambda x: _fact("investigation_order", x, note=x))), when(orders, F.transform("filed_.advice", lambda x: _fact("advice", x, note=x))),
+        F.when(orders | (F.col("kind_") == "vitals"), F.transform("vitals_", lambda x: _fact("vital_sign", F.replace(x["name"], F.lit("_"), F.lit(" ")), x.value, x.unit))),
+        F.when(F.col("kind_") == "vitals", F.concat(_each(v, "$.symptoms", lambda x: _fact("symptom", text(x))), _each(v, "$.allergies", lambda x: _fact("allergy", text(x, "substance_text", "text", "name"), note=F.try_variant_get(x, "$.reaction_text", "string"))))),
+        F.when(F.col("kind_") == "lab_report", _each(v, "$.results", lambda x: _fact("lab_result", text(x, "analyte_text", "text"), C.quantity(F.to_json(F.try_variant_get(x, "$.value", "variant"))).value, F.coalesce(C.quantity(F.to_json(F.try_variant_get(x, "$.value", "variant"))).unit, F.try_variant_get(x, "$.unit", "string")), F.try_variant_get(x, "$.value_text", "string"), date("$.reported_at", "$.collected_at")))),
+        F.when(F.col("kind_") == "discharge", _each(v, "$.procedures", lambda x: _fact("procedure", text(x, "name", "text"), note=F.try_variant_get(x, "$.findings", "string"), day=C.parse_date(F.try_variant_get(x, "$.date", "string")).day))),
+        F.when(F.col("kind_") == "radiology", F.concat(F.array(_fact("diagnostic_report", F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("study_name", "procedure_name", "modality")], F.lit("Imaging study")), note=F.nullif(F.concat_ws(" | ", F.try_variant_get(v, "$.impression", "string"), F.try_variant_get(v, "$.findings", "string")), F.lit("")), day=date("$.study_date"))), _each(v, "$.findings_list", lambda x: _fact("finding", text(x), day=date("$.study_date"))))),
     ]
     empty = F.filter(F.array(_fact("", F.lit(""))), lambda x: F.lit(False))
     rows = own.select(doc, F.posexplode(F.concat(*[F.coalesce(x, empty) for x in lists])).alias("fact_no", "f"))

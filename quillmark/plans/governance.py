@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quillmark.operators import rules as R
 from quillmark.plans import records  # noqa: F401  (the derived tables)
-from quillmark.plans.registry import FIXTURES, Tables, fixture, query, values
+from quillmark.plans.registry import Tables, fixture, query, values
 
 values("range_table", "fact_type STRING, code STRING, low DOUBLE, high DOUBLE, want STRING", R.RANGES)
 values("ceiling_table", "code STRING, ceiling DOUBLE", R.CEILINGS)
