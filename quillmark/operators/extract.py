@@ -53,7 +53,7 @@ def facts_of(docs: DataFrame, doc: str = "document_id", kind: str = "doc_type",
     lists = [
         F.when(F.col("kind_").isin("prescription", "opd_note", "discharge", "radiology"), _each(v, "$.diagnoses", lambda x: _fact("condition", text(x), day=F.when(F.col("kind_") == "discharge", date("$.admission_date")).when(F.col("kind_") == "radiology", date("$.study_date"))))),
         F.when(orders | (F.col("kind_") == "discharge"), F.transform("filed_.medicines", lambda x: _fact("medication", C.strength(x).getField("name"), C.strength(x).value, C.strength(x).unit))),
-        F.when(orders, F.transform("filed_.tests", lambda x: _fact("investigation_order", x, note=x))), when(orders, F.transform("filed_.advice", lambda x: _fact("advice", x, note=x))),
+        F.when(orders, F.transform("filed_.tests", lambda x: _fact("investigation_order", x, note=x))), F.when(orders, F.transform("filed_.advice", lambda x: _fact("advice", x, note=x))),
         F.when(orders | (F.col("kind_") == "vitals"), F.transform("vitals_", lambda x: _fact("vital_sign", F.replace(x["name"], F.lit("_"), F.lit(" ")), x.value, x.unit))),
         F.when(F.col("kind_") == "vitals", F.concat(_each(v, "$.symptoms", lambda x: _fact("symptom", text(x))), _each(v, "$.allergies", lambda x: _fact("allergy", text(x, "substance_text", "text", "name"), note=F.try_variant_get(x, "$.reaction_text", "string"))))),
         F.when(F.col("kind_") == "lab_report", _each(v, "$.results", lambda x: _fact("lab_result", text(x, "analyte_text", "text"), C.quantity(F.to_json(F.try_variant_get(x, "$.value", "variant"))).value, F.coalesce(C.quantity(F.to_json(F.try_variant_get(x, "$.value", "variant"))).unit, F.try_variant_get(x, "$.unit", "string")), F.try_variant_get(x, "$.value_text", "string"), date("$.reported_at", "$.collected_at")))),
