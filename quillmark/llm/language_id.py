@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm import kernels as K
-
 DIM, SYMBOLS = 1024, 4096
 #: At most about this many labelled texts, evenly by a hash of the id, are bundled into prototypes.
 TRAIN_ROWS = 20_000
