@@ -190,14 +190,29 @@ def only_one(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias(value), F.count_distinct(value).alias("n_")).where("n_ = 1").drop("n_")
 
 
-def edit_pairs(words: DataFrame, word: str, most: int = 1) -> DataFrame:
-    """M5: pairs (a, b) of different words at most one edit apart, by deletion neighbourhoods: words meet where they are equal but
-    for a letter left out, so no two words without that are compared."""
-    own = words.select(F.col(word).alias("w")).where("w is not null").distinct()
+def edit_pairs(words: DataFrame, word: str, same_length: bool = False) -> DataFrame:
+    """M5: pairs (a, b) of different words at most one edit apart, and in how many rows each stands (n_a, n_b).
+
+    Words that differ in one place are equal but for it: they meet at that place and the rest of the word, so a group has one
+    word for each character there, and each pair is found once.  Places where all words of a length have the same character
+    part none and are left out.  Unless same_length is set, words also meet those that they are with one letter left out.
+    Nothing but the places of each length is broadcast: the exploded keys look small to the planner and are not."""
+    own = words.select(F.col(word).alias("w")).where("w is not null").groupBy("w").agg(F.count("*").alias("n"))
+    chars = own.where("w <> ''").selectExpr("length(w) AS len", "w", "explode(sequence(1, length(w))) AS i").selectExpr("len", "i", "ascii(substring(w, i, 1)) AS c")
+    places = chars.groupBy("len", "i").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").groupBy("len").agg(F.collect_list("i").alias("places"))
+    at = own.join(F.broadcast(places), F.length("w") == F.col("len")).select("w", "n", F.explode("places").alias("i"))
+    at = at.selectExpr("i", "concat(substring(w, 1, i - 1), substring(w, i + 1)) AS rest", "struct(substring(w, i, 1) AS c, n) AS x")
+    met = at.groupBy("i", "rest").agg(F.collect_list("x").alias("xs")).where("size(xs) > 1").select("i", "rest", "xs", F.explode("xs").alias("x"))
+    met = met.select("i", "rest", "x", F.explode(F.filter("xs", lambda y: y.c > F.col("x.c"))).alias("y"))
+    whole = lambda c: f"concat(substring(rest, 1, i - 1), {c}, substring(rest, i))"
+    pairs = met.selectExpr(f"{whole('x.c')} AS a", f"{whole('y.c')} AS b", "x.n AS n_a", "y.n AS n_b")
+    if same_length:
+        return pairs
     out = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))
-    keys = own.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), F.when(F.length("w") > 0, out).otherwise(F.array().cast("array<string>"))))).alias("k"))
-    pairs = keys.withColumnRenamed("w", "a").join(keys.withColumnRenamed("w", "b"), "k").where("a < b").select("a", "b").distinct()
-    return pairs.where(F.levenshtein("a", "b") <= most)
+    shorter = own.where("w <> ''").select(F.col("w").alias("long"), F.col("n").alias("n_long"), F.explode(F.array_distinct(out)).alias("w"))
+    both = own.hint("merge").join(shorter, "w").select(F.struct("w", "n").alias("x"), F.struct(F.col("long").alias("w"), F.col("n_long").alias("n")).alias("y"))
+    both = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return pairs.unionByName(both.selectExpr("x.w AS a", "y.w AS b", "x.n AS n_a", "y.n AS n_b"))
 
 
 def greedy_names(rows: DataFrame, key: str, name: str, weight: str, least: float = 0.78) -> DataFrame:

@@ -135,8 +135,10 @@ def plausible_first(t: Tables):
 
 @query("""SELECT a.c_name AS a, b.c_name AS b FROM customer a JOIN customer b ON a.c_name < b.c_name AND length(a.c_name) = length(b.c_name) AND levenshtein(a.c_name, b.c_name) <= 1""")
 def blocked_fuzzy(t: Tables):
-    """Names at most one edit apart, met by deletion neighbourhoods (all names are of one length, so the SQL may ask that)."""
-    return K.edit_pairs(t.customer, "c_name").where("length(a) = length(b)")
+    """Names at most one edit apart, met where they are equal but for one place (all names are of one length, so the SQL may
+    ask that); a pair of names gives a row for each pair of customers."""
+    pairs = K.edit_pairs(t.customer, "c_name", same_length=True)
+    return pairs.select("a", "b", "n_b", F.explode(F.expr("sequence(1L, n_a)"))).select("a", "b", F.explode(F.expr("sequence(1L, n_b)"))).select("a", "b")
 
 
 @query("""SELECT w.word, coalesce(e.term, f.term) AS term, CASE WHEN e.term IS NOT NULL THEN 'exact' WHEN f.term IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS how FROM (VALUES ('signup'), ('signupp'), ('vieww'), ('erorr'), ('purchase'), ('zzz')) w(word)

@@ -51,6 +51,34 @@ def test_edit_pairs_equal_brute_force(spark):
     assert {(x.a, x.b) for x in linking.edit_pairs(df, "w").collect()} == want
 
 
+def test_edit_pairs_come_once_and_are_not_broadcast(spark):
+    words = ["", "a", "b", "ab", "ba", "bb", "b\u00e9", "\U0001f600b", "aab", "aaab", "aab"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    from quillmark.functions.similarity import edit_distance
+
+    n = {w: words.count(w) for w in words}
+    want = sorted((a, b, n[a], n[b]) for a in n for b in n if a < b and edit_distance(list(a), list(b)) <= 1)
+    assert sorted(map(tuple, linking.edit_pairs(df, "w").collect())) == want
+    assert sorted(map(tuple, linking.edit_pairs(df, "w", same_length=True).collect())) == [x for x in want if len(x[0]) == len(x[1])]
+
+
+def test_names_of_several_customers_give_a_row_each(spark, tmp_path):
+    import duckdb
+    import oracle
+
+    from quillmark.plans import linkage  # noqa: F401
+    from quillmark.plans.registry import PLANS, SQL
+
+    c = spark.createDataFrame([(i, n) for i, n in enumerate(["C1", "C1", "C2", "C3", "C3", "D3", None, ""])], "c_custkey long, c_name string")
+    c.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    found = PLANS["blocked_fuzzy"](spark, str(tmp_path))
+    ok, why = oracle.same(found, con, SQL["blocked_fuzzy"])
+    assert ok and found.count() == 10, why
+    assert found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1  # the places of each length, no keys
+
+
 def test_masters_are_bounded(spark, monkeypatch):
     m = spark.createDataFrame([(1, "r", "n", [], [])], "id long, reg string, name string, aliases array<string>, words array<string>")
     monkeypatch.setattr(linking, "MAX_MASTERS", 0)
