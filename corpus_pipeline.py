@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id stays."""
-    more = ngram_join.jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
+    more = ngram_join.jaccard_join(docs, count_links=False).where("component_id <> doc_id").select("doc_id")
     return docs.join(more, "doc_id", "left_anti").select(docs.columns)
 
 

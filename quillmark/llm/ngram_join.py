@@ -17,7 +17,9 @@ Plan
      of near copies makes none, however large;
   5. every candidate, of step 3 or 4, must share a shingle of the prefixes under the other orders too; what is left
      meets the texts and is compared in full;
-  6. components of all links.
+  6. components of all links;
+  7. links are counted within components: classes meet in cells of two blocks at most, where products of matrices give
+     all intersections, so every link between different sets counts and none is a row.
 Every linked pair either is in one component after step 3 or is compared in step 4, so no link between different
 components is lost.  Texts are shuffled only if they are in a candidate pair; a fixed-size bitmap keeps out the rest.
 """
@@ -42,6 +44,8 @@ ROUNDS, HUBS = 2, 3
 FILTER_BITS = 1 << 22
 #: Classes of a shingle that one task compares at most (about).
 CELL = 4096
+#: Classes, and shingles of them, that one block of a component has at most (about); columns of a matrix.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Keys of the global orders; the first also ranks by frequency.
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -265,17 +269,86 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _beside(rows: DataFrame, pairs: DataFrame, run) -> DataFrame:
-    """Pairs (a, b) with the data of both, from rows (doc_id, data), through run (a, b, data, data)."""
+def _linked(rep: np.ndarray, part: np.ndarray, sets: list[np.ndarray], cross: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a cell, and with how many others there each is linked; in a cross cell only those of the other part count."""
+    n = np.array([len(s) for s in sets])
+    token, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(token, kind="stable")
+    token, at = token[order], at[order]
+    col = np.cumsum(np.append(False, token[1:] != token[:-1]))
+    several = np.bincount(col) > 1
+    use = several[col]
+    at, col = at[use], (np.cumsum(several) - 1)[col[use]]
+    one = np.flatnonzero(part == part.min())
+    two = np.flatnonzero(part != part.min()) if cross else one
+    both = np.zeros((len(one), len(two)))
+    for c in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(col, [c, c + COLUMNS])
+        own = np.zeros((len(sets), COLUMNS), np.float32)
+        own[at[lo:hi], col[lo:hi] - c] = 1
+        both += own[one] @ own[two].T
+    hit = 100 * both >= percent * (n[one][:, None] + n[two][None, :] - both)
+    if cross:
+        return np.concatenate([rep[one], rep[two]]), np.concatenate([hit.sum(1), hit.sum(0)])
+    np.fill_diagonal(hit, False)
+    return rep, hit.sum(1)
+
+
+def _link_counts(width: int, percent: int):
+    """Over rows sorted by component and cell: (rep, links) of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush():
+            rep, part, cross, sets = zip(*held, strict=True)
+            reps, links = _linked(np.array(rep), np.array(part), list(sets), cross[0], percent)
+            return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(links, pa.int64())], ["rep", "links"])
+
+        for batch in batches:
+            sets = (s for _, _, data, offs in K.slices(batch.column(5)) for s in K.shingle_sets(data, offs, width))
+            for comp, cell, rep, part, cross, s in zip(*(batch.column(c).to_pylist() for c in range(5)), sets, strict=True):
+                if (comp, cell) != key:
+                    if held:
+                        yield flush()
+                    key, held = (comp, cell), []
+                held.append((rep, part, cross, s))
+        if held:
+            yield flush()
+
+    return run
+
+
+def _degrees(docs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, n_links): with how many other classes each class is linked.  found: rep, n, component (null: no link).
+
+    The two classes of a component of two are linked; larger ones are grids of cells, each class once with each block."""
+    n = K.parts(docs.sparkSession)
+    sizes = found.where("component is not null").groupBy("component").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("g"))
+    many = K.stored(found.join(sizes, "component").select("rep", "component", "c", "g"), "join-many")
+    large = many.where("c > 2")
+    texts = _only(docs, large.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    rows = large.join(texts, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("g"))).withColumn("k", F.explode(F.expr("sequence(0, g - 1)")))
+    rows = rows.select("component", (F.least("part", "k") * F.col("g") + F.greatest("part", "k")).alias("cell"), "rep", "part", (F.col("part") != F.col("k")).alias("cross"), "data")
+    counts = rows.repartition(n, "component", "cell").sortWithinPartitions("component", "cell").mapInArrow(_link_counts(width, percent), "rep long, links long")
+    return K.stored(counts.unionByName(many.where("c = 2").select("rep", F.lit(1).cast("long").alias("links"))).groupBy("rep").agg(F.sum("links").alias("n_links")), "join-degrees")
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, data), dealt by doc_id, of the ids (doc_id) and few others: those with the bit of one of them."""
     spark = rows.sparkSession
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(bit.alias("bit"))
-    own = ids.groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).collect()
+    own = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits")).collect()
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in own:
         bitmap[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     texts = rows.select("doc_id", "data", bit.alias("bit")).mapInArrow(_keep(spark.sparkContext.broadcast(bitmap)), "doc_id long, data binary")
-    texts = texts.repartition(K.parts(spark), "doc_id")
+    return texts.repartition(K.parts(spark), "doc_id")
+
+
+def _beside(rows: DataFrame, pairs: DataFrame, run) -> DataFrame:
+    """Pairs (a, b) with the data of both, from rows (doc_id, data), through run (a, b, data, data)."""
+    texts = _only(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     one = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "data": "data_a"}), "a")
     two = one.join(texts.withColumnsRenamed({"doc_id": "b", "data": "data_b"}), "b")
     return two.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
@@ -299,20 +372,22 @@ def _close(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of percent/100 or more, and find components.
 
     Words are runs of bytes outside ASCII white space, A-Z lower-cased; shingles are `width` words in a row, and a
     shorter text is one shingle.  Returns a row per document: doc_id, n_shingles, component_id (smallest doc_id
-    reachable by links), n_links (links found for its class: enough to connect it, copies not counted).
+    reachable by links) and, if count_links, n_links (how many other sets its own is linked with: all links count,
+    those within a group of near copies too; texts of one set are copies and count as one).
     Null texts and texts without words have an empty set and stay alone.  Rows with a null id are left out; rows with
     one id are documents each, so they give a row each; other columns are ignored.
     """
     spark = docs.sparkSession
     rows, repeated = K.keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     if repeated:
-        out = jaccard_join(rows, "row_key_", "text", width, percent).withColumnRenamed("doc_id", "row_key_").join(rows.select("row_key_", "doc_id"), "row_key_")
-        return out.join(rows.select(F.col("row_key_").alias("component_id"), F.col("doc_id").alias("least_")), "component_id").select("doc_id", "n_shingles", F.col("least_").alias("component_id"), "n_links")
+        out = jaccard_join(rows, "row_key_", "text", width, percent, count_links).withColumnRenamed("doc_id", "row_key_").join(rows.select("row_key_", "doc_id"), "row_key_")
+        least = rows.select(F.col("row_key_").alias("component_id"), F.col("doc_id").alias("least_"))
+        return out.join(least, "component_id").select("doc_id", "n_shingles", F.col("least_").alias("component_id"), *(["n_links"] if count_links else []))
     n = K.parts(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), K.text_bytes(text).alias("data")).where("doc_id is not null")
     scan = K.stored(base.mapInArrow(_scan(width, percent), "doc_id long, n int, sig long, seeds array<long>, prefixes binary, chunk int, counters binary"), "join-scan")
@@ -340,7 +415,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         more = K.stored(more, "join-stars")
         tried = tried.unionByName(more)
         new = K.stored(verified(base, prefixes, more, width, percent), "join-links")
-        links, early = links.unionByName(new), merged(early, new, "join-early")
+        early = merged(early, new, "join-early")
 
     rows = base.select("data").mapInArrow(_prefixes(width, percent, spark.sparkContext.broadcast(levels)), "token long, sig long, size_place long, before long")
     shared = rows.repartition(n, "token").sortWithinPartitions("token", "sig", "size_place").mapInArrow(_shared, "token long, sig long, size_place long, before long")
@@ -354,7 +429,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     more = K.stored(_close(_with_component(placed.join(central, "token"), early, "hub", "hub_comp").transform(_with_component, early, "rep", "comp").where("comp <> hub_comp"), percent).join(tried, ["a", "b"], "left_anti"), "join-stars")
     tried = tried.unionByName(more)
     new = K.stored(verified(base, prefixes, more, width, percent), "join-links")
-    links, early = links.unionByName(new), merged(early, new, "join-early")
+    early = merged(early, new, "join-early")
 
     # A shingle of more than CELL classes is a grid of cells, so no task holds or compares all of them.
     hot = K.stored(placed.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > CELL).select("token", F.ceil(F.col("c") / CELL).alias("g")), "join-hot")
@@ -364,10 +439,13 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     rest = rows.repartition(n, "token", "cell").sortWithinPartitions("token", "cell", "size_place", "rep").mapInArrow(_between(percent), "a long, b long").distinct()
     rest = K.stored(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
     new = K.stored(verified(base, prefixes, rest, width, percent), "join-links")
-    links, final = links.unionByName(new), merged(early, new, "join-final")
+    final = merged(early, new, "join-final")
     K.discard(seeded, shared, placed, hot, rest)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    found = classes.select("sig", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = sets.join(found.select("sig", "n", F.coalesce("component", "rep").alias("component_id"), "n_links"), ["sig", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = classes.select("sig", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    if count_links:
+        found = K.stored(found, "join-found")
+        found = found.join(_degrees(base, found, width, percent), "rep", "left")
+    own = found.select("sig", "n", F.coalesce("component", "rep").alias("component_id"), *(["n_links"] if count_links else []))
+    counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return sets.join(own, ["sig", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *counted)

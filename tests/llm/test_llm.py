@@ -114,6 +114,31 @@ def test_ngram_join(docs, rows):
     assert got == brute_join([r[:2] for r in rows])
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+    r = random.Random(5)
+    texts = []
+    for k, copies in enumerate((1, 2, 3, 12, 20)):
+        w = [f"w{k}x{i}" for i in range(60)]
+        for _ in range(copies):  # near copies, of which not all are linked with each other
+            own = list(w)
+            for i in r.sample(range(60), r.randint(0, 2)):
+                own[i] = r.choice("xyz")
+            texts.append(" ".join(own))
+    texts += [texts[3], texts[-1], "", None, "a b"]
+    words = [tuple((t or "").split()) for t in texts]
+    sets = [frozenset(w[j : j + 5] for j in range(len(w) - 4)) if len(w) > 4 else frozenset([w] if w else []) for w in words]
+    linked = {(a, b) for a in set(sets) for b in set(sets) if a and b and a != b and 100 * len(a & b) >= 75 * len(a | b)}
+    want = {i: sum((s, t) in linked for t in set(sets)) for i, s in enumerate(sets)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = ngram_join.jaccard_join(df).collect()
+    assert {x.doc_id: x.n_links for x in found} == want and max(want.values()) > 5
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_join(list(enumerate(texts)))
+    alone = ngram_join.jaccard_join(df, count_links=False)
+    assert "n_links" not in alone.columns and {x.doc_id: x.component_id for x in alone.collect()} == {x.doc_id: x.component_id for x in found}
+
+
 def test_ngram_join_of_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL", 4)
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
