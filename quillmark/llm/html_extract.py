@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are built from a few templates.  Each page becomes a tree of shapes (tag and class; runs of like
-siblings are one node).  The frequent and unlike shapes of a host are its exemplars; every page is aligned with the
-most similar exemplar by simple tree matching, so its blocks of text fall into the exemplar's slots.  Over all pages of
+siblings are one node).  The frequent and unlike shapes of a host are its main exemplars; shapes unlike all of those are
+gone through in order of frequency until each is like an exemplar, however many that takes.  Every page is aligned with
+the most similar main exemplar and with the most similar of all by simple tree matching, so its blocks of text fall into
+slots of both.  Over all pages of
 the host a text is counted at its slot: what stands in nearly all pages that fill the slot is constant, so template;
 slots that vary are content.  Within the content, elements that say they are something else (menus, footers, forms,
 adverts, comments ...) are left out, and the article is the marked one or else the part with the most running text.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -345,6 +348,7 @@ def align(a: Shape, b: Shape) -> tuple[int, dict[int, int]]:
 
 
 #: A page is aligned with an exemplar if at least ALIGNED of their nodes match; exemplars of a host are less than ALIKE.
+#: Main exemplars are EXEMPLARS at most, of CANDIDATES shapes; further rounds take all that is unlike them.
 ALIGNED, ALIKE, EXEMPLARS, CANDIDATES = 0.3, 0.7, 8, 32
 
 
@@ -359,36 +363,54 @@ def nearest(own: Shape, exemplars: list[Shape]) -> tuple[int, dict[int, int]]:
     return at, slots
 
 
-def choose(shapes: list[Shape]) -> list[Shape]:
-    """Exemplars from shapes in order of frequency: each that is unlike those before."""
+def like(a: Shape, b: Shape) -> bool:
+    """Whether ALIKE of the nodes match; sizes and keys are bounds that spare the matching."""
+    need = ALIKE * (len(a.keys) + len(b.keys))
+    return 2 * min(len(a.keys), len(b.keys)) >= need and 2 * (Counter(a.keys) & Counter(b.keys)).total() >= need and 2 * align(a, b)[0] >= need
+
+
+def choose(shapes: list[Shape], most: int | None = None) -> list[Shape]:
+    """Exemplars from shapes in order of frequency: each that is unlike those before; `most` of them if that is set."""
     out: list[Shape] = []
     for s in shapes:
-        if len(out) < EXEMPLARS and all(2 * align(s, e)[0] < ALIKE * (len(s.keys) + len(e.keys)) for e in out):
+        if (most is None or len(out) < most) and not any(like(s, e) for e in out):
             out.append(s)
     return out
 
 
+def placed(own: Shape, exemplars: list[Shape], main: int) -> list[tuple[int, dict[int, int]]]:
+    """The most similar main exemplar (the first ones) and, if it is another, the most similar of all, with own's slots there."""
+    out = [nearest(own, exemplars[:main])]
+    if main < len(exemplars):
+        k, slots = nearest(own, exemplars[main:])
+        best = 2 * len(slots) / (len(own.keys) + len(exemplars[main + k].keys)) if k >= 0 else 0.0
+        first = 2 * len(out[0][1]) / (len(own.keys) + len(exemplars[out[0][0]].keys)) if out[0][0] >= 0 else 0.0
+        if best > first:
+            out.append((main + k, slots))
+    return [x for x in out if x[0] >= 0]
+
+
 class Template:
-    """What is known of a host: exemplars, and the constant texts of their slots as (exemplar, slot, text hash)."""
+    """What is known of a host: exemplars, how many of them are main ones, and the constant texts of their slots as (exemplar, slot, text hash)."""
 
-    def __init__(self, exemplars: list[Shape], constant: set[tuple[int, int, int]]):
-        self.exemplars, self.constant = exemplars, constant
-        self._slots: dict[int, tuple[int, dict[int, int]]] = {}
+    def __init__(self, exemplars: list[Shape], constant: set[tuple[int, int, int]], main: int | None = None):
+        self.exemplars, self.constant, self.main = exemplars, constant, len(exemplars) if main is None else main
+        self._slots: dict[int, list[tuple[int, dict[int, int]]]] = {}
 
-    def slots(self, own: Shape) -> tuple[int, dict[int, int]]:
+    def slots(self, own: Shape) -> list[tuple[int, dict[int, int]]]:
         key = digest(own.written())
         if key not in self._slots:
             if len(self._slots) > 2000:
                 self._slots.clear()
-            self._slots[key] = nearest(own, self.exemplars)
+            self._slots[key] = placed(own, self.exemplars, self.main)
         return self._slots[key]
 
 
 def constants(nodes: list[Node], own: list[Block], known: Template) -> list[bool]:
     """Which blocks are template; none if that would be over MOST of the text, as among near copies of one page."""
     tree, of = shape(nodes)
-    k, slots = known.slots(tree)
-    gone = [(k, slots.get(of[b.node.index], -1), digest(b.text)) in known.constant for b in own]
+    at = known.slots(tree)
+    gone = [any((k, slots.get(of[b.node.index], -1), digest(b.text)) in known.constant for k, slots in at) for b in own]
     return gone if sum(len(b.text) for b, g in zip(own, gone, strict=True) if g) <= MOST * sum(len(b.text) for b in own) else [False] * len(own)
 
 
@@ -460,31 +482,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def _choose(key: tuple, table: pa.Table) -> pa.Table:
-    """The exemplars of a host, from at most CANDIDATES rows."""
-    table = table.sort_by([("pages", "descending"), ("shape_", "ascending")])
-    out = [s.written() for s in choose([Shape.read(t) for t in table.column("tree_").to_pylist()])]
-    return pa.table({"host_": pa.array([key[0].as_py()], pa.int64()), "exemplars": pa.array([out], pa.list_(pa.string()))})
+def _choose(most: int | None):
+    """The exemplars of a host from its rows; `most` of them if that is set."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pages", "descending"), ("shape_", "ascending")])
+        out = [s.written() for s in choose([Shape.read(t) for t in table.column("tree_").to_pylist()], most)]
+        return pa.table({"host_": pa.array([key[0].as_py()], pa.int64()), "exemplars": pa.array([out], pa.list_(pa.string()))})
+
+    return run
+
+
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shapes (last column: exemplars of the host) that are like none of the exemplars."""
+    held: dict[tuple, list[Shape]] = {}
+    for batch in batches:
+        keep = []
+        for tree, exemplars in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            texts = tuple(exemplars)
+            if texts not in held:
+                if len(held) > 64:
+                    held.clear()
+                held[texts] = [Shape.read(t) for t in texts]
+            own = Shape.read(tree)
+            keep.append(not any(like(own, e) for e in held[texts]))
+        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slots of the nodes of each shape of a host: host_, shape_, node_, exemplar, slot."""
     held: dict[tuple, list[Shape]] = {}
     for batch in batches:
-        for host, key, tree, exemplars in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        for host, key, tree, exemplars, main in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
             texts = tuple(exemplars)
             if texts not in held:
                 if len(held) > 64:
                     held.clear()
                 held[texts] = [Shape.read(t) for t in texts]
-            k, found = nearest(Shape.read(tree), held[texts])
-            if k >= 0:
+            for k, found in placed(Shape.read(tree), held[texts], main):
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(list(found), pa.int32()), pa.array([k] * n, pa.int32()), pa.array(list(found.values()), pa.int32())], ["host_", "shape_", "node_", "exemplar", "slot"])
 
 
-def _made(exemplars: list[str], constant: list[dict]) -> Template:
-    return Template([Shape.read(t) for t in exemplars], {(x["exemplar"], x["slot"], x["word_"]) for x in constant})
+def _made(exemplars: list[str], main: int, constant: list[dict]) -> Template:
+    return Template([Shape.read(t) for t in exemplars], {(x["exemplar"], x["slot"], x["word_"]) for x in constant}, main)
 
 
 def _texts(pages: list, known: list[Template | None]) -> list[pa.Array]:
@@ -513,19 +554,19 @@ def _extract(templates):
 
 
 def _extract_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of page, host, is_page, exemplars, constant and the columns to keep, each host's template right before its pages."""
+    """Rows of page, host, is_page, exemplars, main, constant and the columns to keep, each host's template right before its pages."""
     made: tuple[int, Template] | None = None
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
             known = []
-            for host, is_page, exemplars, constant in zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+            for host, is_page, exemplars, main, constant in zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True):
                 if not is_page:
-                    made = host, _made(exemplars, constant)
+                    made = host, _made(exemplars, main, constant)
                 else:
                     known.append(made[1] if made and made[0] == host else None)
             own = part.filter(part.column(2))
-            yield pa.RecordBatch.from_arrays([*own.columns[5:], *_texts(own.column(0).to_pylist(), known)], [*own.schema.names[5:], "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*own.columns[6:], *_texts(own.column(0).to_pylist(), known)], [*own.schema.names[6:], "text", "n_chars"])
 
 
 #: A text is template in SUPPORT of the different pages that fill its slot, two at least.
@@ -538,22 +579,33 @@ def host_of(url: str):
 
 
 def templates(pages: DataFrame, page: str = "page_", host: str = "host_") -> DataFrame:
-    """host_, exemplars, constant (exemplar, slot, word_) of each host with constant texts, learned from all its pages."""
+    """host_, exemplars, main_ (how many of them are main ones), constant (exemplar, slot, word_) of each host with constant texts, learned from all its pages."""
     seen = pages.where(f"{page} is not null").select(host, page).mapInArrow(_count, _COUNT)
     key = ["host_", "shape_", "node_", "word_"]
     # Both counts are summed by task before they are dealt, so a host of any size is no large group.
     counts = K.stored(seen.distinct().groupBy(*key, "tree_").agg(F.count("*").cast("int").alias("n")), "html-counts")
     shapes = counts.where("node_ = -2").select("host_", "shape_", "tree_").join(counts.where("node_ = -1").select("host_", "shape_", F.col("n").alias("pages")), ["host_", "shape_"])
     common = Window.partitionBy("host_").orderBy(F.desc("pages"), "shape_")
-    top = shapes.withColumn("rank_", F.row_number().over(common)).where(f"rank_ <= {CANDIDATES}").drop("rank_")
-    exemplars = K.stored(top.groupBy("host_").applyInArrow(_choose, "host_ long, exemplars array<string>"), "html-exemplars")
+    frequent = lambda df, n: df.withColumn("rank_", F.row_number().over(common)).where(f"rank_ <= {n}").drop("rank_")
+    chosen = lambda df, n, most: K.stored(frequent(df, n).groupBy("host_").applyInArrow(_choose(most), "host_ long, exemplars array<string>"), "html-exemplars")
+    new = chosen(shapes, CANDIDATES, EXEMPLARS)
+    rounds, rest, n = new.withColumn("round_", F.lit(0)), shapes, CANDIDATES
+    while True:  # until every shape is like an exemplar; rounds of twice as many candidates each
+        rest = K.stored(rest.select("host_", "shape_", "tree_", "pages").join(new, "host_").select("host_", "shape_", "tree_", "pages", "exemplars").mapInArrow(_unlike, "host_ long, shape_ long, tree_ string, pages int"), "html-rest")
+        if not rest.limit(1).count():
+            break
+        n *= 2
+        new = chosen(rest, n, None)
+        rounds = rounds.unionByName(new.withColumn("round_", F.lit(n)))
+    by_round = F.sort_array(F.collect_list(F.struct("round_", "exemplars")))
+    exemplars = K.stored(rounds.groupBy("host_").agg(by_round.alias("r")).select("host_", F.flatten("r.exemplars").alias("exemplars"), F.size(F.col("r")[0].exemplars).alias("main_")), "html-exemplars")
     slots = shapes.select("host_", "shape_", "tree_").join(exemplars, "host_").mapInArrow(_slots, "host_ long, shape_ long, node_ int, exemplar int, slot int")
     placed = counts.where("node_ >= 0").drop("tree_").join(slots, ["host_", "shape_", "node_"])
     placed = K.stored(placed.groupBy("host_", "exemplar", "slot", "word_").agg(F.sum("n").alias("n")).where("n > 1"), "html-slots")
     filled = placed.where("word_ is null").select("host_", "exemplar", "slot", F.col("n").alias("pages"))
     constant = placed.where("word_ is not null").join(filled, ["host_", "exemplar", "slot"]).where(F.col("n") >= F.lit(SUPPORT) * F.col("pages"))
     constant = constant.groupBy("host_").agg(F.collect_list(F.struct("exemplar", "slot", "word_")).alias("constant"))
-    return exemplars.join(constant, "host_")
+    return exemplars.join(constant, "host_").select("host_", "exemplars", "main_", "constant")
 
 
 def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
@@ -572,11 +624,11 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[s
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:]]
     schema = ", ".join([*kept, "text string", "n_chars long"])
     if size <= BROADCAST_BYTES:
-        held = {r.host_: (r.exemplars, [x.asDict() for x in r.constant]) for r in known.collect()}
+        held = {r.host_: (r.exemplars, r.main_, [x.asDict() for x in r.constant]) for r in known.collect()}
         return own.mapInArrow(_extract(spark.sparkContext.broadcast(held)), schema)
     # A host may have a third of all pages: its template goes before each of its parts.
     salt = F.pmod(F.xxhash64("page_"), F.lit(SALTS)).cast("int")
     rows = own.select("page_", "host_", F.lit(True).alias("is_page_"), salt.alias("salt_"), *[F.col(f"`{c}`") for c in keep])
-    heads = known.select("host_", F.lit(False).alias("is_page_"), "exemplars", "constant", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    heads = known.select("host_", F.lit(False).alias("is_page_"), "exemplars", "main_", "constant", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
     both = rows.unionByName(heads, allowMissingColumns=True).repartition(K.parts(spark) * 4, "host_", "salt_").sortWithinPartitions("host_", "salt_", "is_page_")
-    return both.select("page_", "host_", "is_page_", "exemplars", "constant", *[F.col(f"`{c}`") for c in keep]).mapInArrow(_extract_sorted, schema)
+    return both.select("page_", "host_", "is_page_", "exemplars", "main_", "constant", *[F.col(f"`{c}`") for c in keep]).mapInArrow(_extract_sorted, schema)

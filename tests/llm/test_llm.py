@@ -283,6 +283,20 @@ def test_html_template(spark):
     assert got[99] == "" and got[98] == "only"
 
 
+def test_html_template_of_rare_layouts(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "CANDIDATES", 2)
+    monkeypatch.setattr(html_extract, "EXEMPLARS", 1)
+
+    def page(kind, i):
+        story = f"<h2>Story {kind} {i}</h2><p>{'words of story %s and number %d, ' % (kind, i) * 6}</p>"
+        return f"<body>{''.join(f'<div class={kind}{c}>' for c in 'uvwxyz')}{story}<section><p>The closing line of layout {kind} here</p></section></body>"
+
+    rows = [(100 * k + i, "http://h.com/x", page(kind, i)) for k, kind in enumerate("abcdef") for i in range(9 - k)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert len(got) == len(rows) and all(t.startswith("Story") and "closing" not in t for t in got.values()), got
+
+
 def test_html_template_inside_a_marked_article(spark):
     def page(i):
         return f"<body><article><p>Read our other stories at the end of this page</p><h1>Story {i}</h1><p>{'words of story number %d and more, ' % i * 6}</p><p>The same closing line of the site</p></article></body>"
